@@ -29,10 +29,9 @@ def _element_sums(
         return means.groupBy(*keys).agg(packed.alias("_packed")).select(
             *keys, F.transform("_packed", lambda e: e["_x"]).alias("embedding")
         )
-    sums = [
-        F.sum(F.col(vector)[i] * F.col("_w")).alias(f"_s{i}") for i in range(dimension)
-    ]
-    summed = df.withColumn("_w", weight).groupBy(*keys).agg(F.sum("_w").alias("_n"), *sums)
+    weighted = df.select(*keys, weight.alias("_w"), F.col(vector).alias("_v"))
+    sums = [F.sum(F.col("_v")[i] * F.col("_w")).alias(f"_s{i}") for i in range(dimension)]
+    summed = weighted.groupBy(*keys).agg(F.sum("_w").alias("_n"), *sums)
     return summed.where(F.col("_n") != 0).select(
         *keys, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(dimension)]).alias("embedding")
     )

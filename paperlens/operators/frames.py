@@ -49,11 +49,12 @@ def pairs_within(
 ) -> DataFrame:
     """Join ``df`` with itself on ``key``: columns left, right, ``carry``, ``right_carry`` + '_right'.
 
-    ``ordered`` restricts the pairs (by the two members). The work of a key grows with the square of its rows, which
-    a split by input bytes does not see. So rows of a key above ``block_rows`` are dealt
-    into blocks and every two blocks meet in a group of their own.
+    ``ordered`` restricts the pairs (by the two members). The work of a key grows with the
+    square of its rows, which a split by input bytes does not see. So rows of a key above
+    ``block_rows`` are dealt into blocks and every two blocks meet in a group of their own.
+    The rows are checkpointed: they are read to find such keys and as both sides.
     """
-    rows = df.where(F.col(key).isNotNull())
+    rows = checkpointed(df.where(F.col(key).isNotNull()))
     hot = (
         rows.groupBy(key).count().where(F.col("count") > block_rows)
         .select(key, F.ceil(F.col("count") / F.lit(block_rows)).cast("int").alias("_blocks"))

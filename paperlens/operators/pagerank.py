@@ -15,28 +15,25 @@ from paperlens.session import checkpointed
 
 RESET = 0.15
 TOLERANCE = 0.01
-ROUNDS_PER_CHECKPOINT = 5
 MAX_ROUNDS = 500
 
 
 def _iterate(
-    start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int | None, tolerance: float
+    start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int | None, tolerance: float, block: int
 ) -> DataFrame:
-    """Apply ``step`` to (auid, rank) for ``rounds`` rounds, or until the last one moved no
-    rank by more than ``tolerance``. Lineage is cut, and movement checked, every few rounds."""
-    ranks, done, limit = start, 0, rounds if rounds is not None else MAX_ROUNDS
+    """Apply ``step`` to (auid, rank) for ``rounds`` rounds, or until ``block`` rounds move no rank by
+    more than ``tolerance``. Lineage is cut after every block."""
+    ranks, done, limit = checkpointed(start), 0, rounds if rounds is not None else MAX_ROUNDS
     while done < limit:
-        block = min(ROUNDS_PER_CHECKPOINT, limit - done)
-        for last in [False] * (block - 1) + [True]:
-            moved = step(ranks)
-            ranks = moved if last else moved.drop("_before")
-        done += block
-        ranks = checkpointed(ranks)
+        before, count = ranks, min(block, limit - done)
+        for _ in range(count):
+            ranks = step(ranks)
+        ranks, done = checkpointed(ranks), done + count
         if rounds is None:
-            gap = ranks.agg(F.max(F.abs(F.col("rank") - F.col("_before")))).first()[0]
+            both = ranks.join(before.select("auid", F.col("rank").alias("_before")), "auid")
+            gap = both.agg(F.max(F.abs(F.col("rank") - F.col("_before")))).first()[0]
             if gap is None or gap <= tolerance:
                 break
-        ranks = ranks.drop("_before")
     return ranks.select("auid", "rank")
 
 
@@ -49,28 +46,22 @@ def pagerank_of_edges(
     pairs: DataFrame, *, rounds: int | None = None, tolerance: float = TOLERANCE, reset: float = RESET
 ) -> DataFrame:
     """(auid, pageRank) on directed edges (left, right); a repeated edge counts repeatedly."""
-    weighted = pairs.groupBy("left", "right").agg(F.count("*").alias("_w"))
+    weighted = checkpointed(pairs.groupBy("left", "right").agg(F.count("*").alias("_w")))
     out = weighted.groupBy("left").agg(F.sum("_w").alias("_out"))
-    links = checkpointed(
-        weighted.join(out, "left").select("left", "right", (F.col("_w") / F.col("_out")).alias("_share"))
-    )
-    start = (
-        links.select(F.col("left").alias("auid")).union(links.select("right")).distinct()
-        .withColumn("rank", F.lit(1.0))
-    )
+    shares = weighted.join(out, "left").select("left", "right", (F.col("_w") / F.col("_out")).alias("_share"))
+    vertices = weighted.select(F.col("left").alias("auid")).union(weighted.select("right")).distinct()
+    # A link of share 0 to itself keeps a vertex that nobody links to.
+    links = checkpointed(shares.union(vertices.select("auid", "auid", F.lit(0.0))))
 
     def step(ranks: DataFrame) -> DataFrame:
-        received = (
-            links.join(ranks.withColumnRenamed("auid", "left"), "left").groupBy("right")
-            .agg(F.sum(F.col("rank") * F.col("_share")).alias("_sum"))
-            .withColumnRenamed("right", "auid")
-        )
-        return ranks.join(received, "auid", "left").select(
-            "auid", (reset + (1.0 - reset) * F.coalesce("_sum", F.lit(0.0))).alias("rank"),
-            F.col("rank").alias("_before"),
+        received = F.sum(F.col("rank") * F.col("_share"))
+        return (
+            links.join(ranks.withColumnRenamed("auid", "left"), "left").groupBy(F.col("right").alias("auid"))
+            .agg((F.lit(reset) + F.lit(1.0 - reset) * received).alias("rank"))
         )
 
-    return _scaled(_iterate(start, step, rounds, tolerance))
+    start = vertices.withColumn("rank", F.lit(1.0))
+    return _scaled(_iterate(start, step, rounds, tolerance, block=5))
 
 
 def pagerank_of_papers(
@@ -87,10 +78,10 @@ def pagerank_of_papers(
     listed = checkpointed(
         listed.join(sizes, "eid").where(F.col("_m") < F.col("_size")).select("eid", "auid", "_m", "_size")
     )
-    links = checkpointed(listed.groupBy("auid").agg(
+    links = listed.groupBy("auid").agg(
         F.sum(F.col("_m") * (F.col("_size") - F.col("_m"))).alias("_out"),
         F.sum(F.col("_m") * F.col("_m")).alias("_self"),
-    ))
+    )
     lists = listed.select("eid", "auid", "_m")
     start = links.select("auid", "_out", "_self", F.lit(1.0).alias("rank"))
 
@@ -106,11 +97,11 @@ def pagerank_of_papers(
         )
         from_others = F.col("_sum") - F.col("rank") / F.col("_out") * F.col("_self")
         return ranks.join(received, "auid").select(
-            "auid", "_out", "_self", (reset + (1.0 - reset) * from_others).alias("rank"),
-            F.col("rank").alias("_before"),
+            "auid", "_out", "_self", (F.lit(reset) + F.lit(1.0 - reset) * from_others).alias("rank")
         )
 
-    return _scaled(_iterate(start, step, rounds, tolerance))
+    # A round reads the ranks twice, so plans would double with each round left uncut.
+    return _scaled(_iterate(start, step, rounds, tolerance, block=1))
 
 
 def coauthor_pagerank(

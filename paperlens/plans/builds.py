@@ -97,7 +97,6 @@ class EmbeddingBuild:
         """Not part of ``run``."""
         result = trending.trending_reference(
             self._read("papers"), self._read("paper_vectors"), self._read("journal_year_vectors"),
-            dimension=self.catalog.dimension,
         )
         self.catalog.save(result, "trending_reference")
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paperlens.functions.vectors import sq_l2_of
 from paperlens.operators import (
     authors as au, bow, classifiers, coauthors, embeddings, journals, neighbors, onehot, originality,
     pagerank, papers as pp, percentiles, scope, tokens, trending, vocabulary, wordvectors,
@@ -175,9 +174,14 @@ def _titles(t: Tables) -> DataFrame:
     return tokens.tokenize_per_sentence(t.papers(), "eid", "title")
 
 
-def _idf(t: Tables) -> DataFrame:
-    """Idf weights as a stored table, as a scoring job would find them."""
-    return checkpointed(vocabulary.vocabulary(_abstracts(t), _titles(t))[2])
+def _stored_abstracts(t: Tables) -> DataFrame:
+    """Tokens as a stored table, as the jobs that use them more than once would find them."""
+    return checkpointed(_abstracts(t))
+
+
+def _idf(t: Tables, abstracts: DataFrame | None = None) -> DataFrame:
+    stored = _stored_abstracts(t) if abstracts is None else abstracts
+    return checkpointed(vocabulary.vocabulary(stored, checkpointed(_titles(t)))[2])
 
 
 @query
@@ -192,19 +196,21 @@ def doc_frequency(t: Tables) -> DataFrame:
 
 @query
 def idf_weights(t: Tables) -> DataFrame:
-    return vocabulary.vocabulary(_abstracts(t), _titles(t))[2].select("token", r6("weight"))
+    return _idf(t).select("token", r6("weight"))
 
 
 @query
 def tfidf_bow(t: Tables) -> DataFrame:
     """Stored idf of the titles only, so that many terms take the weight of unknown ones."""
-    idf = vocabulary.idf_weights(vocabulary.doc_frequency(_titles(t)), _titles(t))
-    return bow.tf_idf(_abstracts(t), checkpointed(idf)).select("id", "term", F.round("weight", 9).alias("weight"))
+    titles = checkpointed(_titles(t))
+    idf = vocabulary.idf_weights(vocabulary.doc_frequency(titles), titles)
+    return bow.tf_idf(_stored_abstracts(t), checkpointed(idf)).select("id", "term", F.round("weight", 9).alias("weight"))
 
 
 @query
 def tfidf_maps(t: Tables) -> DataFrame:
-    maps = bow.to_maps(bow.tf_idf(_abstracts(t), _idf(t)))
+    abstracts = _stored_abstracts(t)
+    maps = bow.to_maps(bow.tf_idf(abstracts, _idf(t, abstracts)))
     return bow.from_maps(maps).select("id", "term", F.round("weight", 9).alias("weight"))
 
 
@@ -216,7 +222,8 @@ def submission_bow(t: Tables) -> DataFrame:
 
 
 def _paper_word_vectors(t: Tables, words: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
-    weighted = bow.tf_idf(_abstracts(t), idf if idf is not None else _idf(t))
+    abstracts = _stored_abstracts(t)
+    weighted = bow.tf_idf(abstracts, idf if idf is not None else _idf(t, abstracts))
     words = words if words is not None else checkpointed(t.word_vectors())
     return embeddings.embed_bow(weighted, words, dimension=WORD_DIMENSION)
 
@@ -512,24 +519,22 @@ def originality_pairs_strict(t: Tables) -> DataFrame:
 @query
 def originality_distances(t: Tables) -> DataFrame:
     pairs = originality.originality_pairs(t.dated_authors(), t.vectors())
-    distances = originality.originality_distances(pairs, sq_l2_of(VECTOR_DIMENSION))
+    distances = originality.originality_distances(pairs)
     return distances.select("eid", "issn", "eid_asc", r6("d2"))
 
 
 @query
 def trending_reference(t: Tables) -> DataFrame:
-    rows = trending.trending_reference(
-        t.papers(), t.vectors(), _year_centroids(t), dimension=VECTOR_DIMENSION
-    )
+    rows = trending.trending_reference(t.papers(), t.vectors(), _year_centroids(t))
     return rows.select("eid", "issn", r6("d2_diff"), r6("ptile"))
 
 
 @query
 def trending_scores(t: Tables) -> DataFrame:
     centroids = checkpointed(_year_centroids(t))
-    reference = trending.trending_reference(t.papers(), t.vectors(), centroids, dimension=VECTOR_DIMENSION)
+    reference = trending.trending_reference(t.papers(), t.vectors(), centroids)
     submissions = trending.paper_submissions(t.papers(), t.vectors())
-    rows = trending.trending_scores(submissions, centroids, reference, dimension=VECTOR_DIMENSION)
+    rows = trending.trending_scores(submissions, centroids, reference)
     return rows.select("query_id", "issn", r6("d2_diff"), r6("trending"))
 
 
@@ -594,7 +599,7 @@ def scope_match_for_texts(t: Tables) -> DataFrame:
 def trending_for_texts(t: Tables) -> DataFrame:
     vectors, submissions = _text_vectors(t)
     centroids = checkpointed(journals.journal_year_centroids(t.papers(), vectors, dimension=WORD_DIMENSION))
-    reference = trending.trending_reference(t.papers(), vectors, centroids, dimension=WORD_DIMENSION)
+    reference = trending.trending_reference(t.papers(), vectors, centroids)
     sent = submissions.withColumnRenamed("target_issn", "issn")
-    rows = trending.trending_scores(sent, centroids, reference, dimension=WORD_DIMENSION)
+    rows = trending.trending_scores(sent, centroids, reference)
     return rows.select("query_id", "issn", r6("d2_diff"), r6("trending"))

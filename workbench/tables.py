@@ -11,6 +11,7 @@ from paperlens.schemas import AUTHOR, PAPER_SOURCE
 
 VECTOR_DIMENSION = 64
 WORD_DIMENSION = 4
+SMALL_TABLE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,11 @@ class Tables:
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        """A file of one row group is read by one task; then the texts are dealt to all cores."""
+        cores, df = self.spark.sparkContext.defaultParallelism, self.given("documents")
+        return df.repartition(cores) if df.count() < SMALL_TABLE else df
+
     def raw_papers(self) -> DataFrame:
         """Every 11th paper lacks its title, every 13th has a malformed date."""
         d = F.col("doc_id")
@@ -43,7 +49,7 @@ class Tables:
             "publishername": F.col("lang"), "sourcetitle": F.concat(F.lit("Journal "), F.col("source")),
             "sourcetitle_abbrev": F.col("source"),
         }
-        return self.given("documents").select(
+        return self.documents().select(
             datesort.alias("datesort"), d.cast("string").alias("eid"), F.col("source").alias("issn"),
             F.when(d % 11 == 0, None).otherwise(F.split("text", "\n")[0]).alias("title"),
             F.col("text").alias("abstr"),
@@ -57,7 +63,7 @@ class Tables:
     def papers(self) -> DataFrame:
         """All documents as clean papers."""
         d = F.col("doc_id")
-        return self.given("documents").select(
+        return self.documents().select(
             d.cast("string").alias("eid"), F.col("source").alias("issn"),
             F.split("text", "\n")[0].alias("title"), F.col("text").alias("abstr"),
             F.array("lang", F.concat(F.lit("A"), (d % 5).cast("string"))).alias("subjareas"),
@@ -70,7 +76,7 @@ class Tables:
         auids = F.array(
             F.concat(F.lit("a"), (d % 37).cast("string")), F.concat(F.lit("b"), (d * 7 % 41).cast("string"))
         )
-        return self.given("documents").select(
+        return self.documents().select(
             d.cast("string").alias("eid"), F.col("source").alias("issn"),
             (2015 + F.floor(d / 20) % 5).cast("short").alias("year"), (1 + d % 12).cast("short").alias("month"),
             F.explode(auids).alias("auid"),
@@ -85,7 +91,7 @@ class Tables:
         """Tokens of four letters or more have a vector; shorter ones are unknown words."""
         word = F.col("word")
         words = (
-            self.given("documents").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+            self.documents().select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
             .where(F.length("word") >= 4).distinct()
         )
         vector = F.array(
