@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens.functions.text import TokenFn
-from paperlens.operators.bow import tf_idf
-from paperlens.operators.frames import BROADCAST_ROWS, has_at_most
+from paperlens.operators.bow import unknown_term_weight
+from paperlens.operators.frames import BROADCAST_BYTES, has_at_most
 from paperlens.operators.tokens import tokenize_texts
+from paperlens.sources.catalog import DIMENSION
+
+_ROW_BYTES = 100  # a broadcast row apart from its vector
 
 
 def _element_sums(
@@ -42,50 +45,63 @@ def centroids(df: DataFrame, *keys: str, vector: str = "embedding", dimension: i
     return _element_sums(df.where(F.col(vector).isNotNull()), keys, vector, F.lit(1.0), dimension)
 
 
-def _weighted_vectors(bow: DataFrame, word_vectors: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(id, weight, vector) of every known term.
+def _known_terms(rows: DataFrame, words: DataFrame, dimension: int | None) -> DataFrame:
+    """(id, weight, vector) of every row whose term has a vector; the weight comes with either side.
 
-    Joined by broadcast, rows of an id stay together and shrink to one row per task before
-    any shuffle. A vocabulary above ``broadcast_rows`` is split: terms that make up at least
-    1/broadcast_rows of all rows (so at most that many terms) are broadcast, only the rare
-    remainder is shuffled by term. No frequent term is thereby ever a hot key.
+    Joined by broadcast, the terms of an id stay together and shrink to one row per task
+    before any shuffle. A vocabulary too large for that is split: terms that make up at least
+    1/limit of all rows (so at most limit terms) are broadcast, only the rare remainder is
+    shuffled by term. No frequent term is thereby ever a hot key.
     """
-    words = word_vectors.select(
-        F.col("word").alias("term"), F.col("embedding").cast("array<double>").alias("_vector")
-    )
-    if has_at_most(word_vectors, broadcast_rows):
-        return bow.join(F.broadcast(words), "term").select("id", "weight", "_vector")
-    counts = bow.groupBy("term").agg(F.count("*").alias("_count"))
-    all_rows = bow.agg(F.count("*")).scalar()
-    frequent = counts.where(F.col("_count") * broadcast_rows >= all_rows).select("term")
-    frequent_words = words.join(F.broadcast(frequent), "term", "left_semi")
-    by_broadcast = bow.join(F.broadcast(frequent_words), "term")
-    by_shuffle = bow.join(F.broadcast(frequent), "term", "left_anti").join(words, "term")
-    return by_broadcast.unionByName(by_shuffle).select("id", "weight", "_vector")
-
-
-def embed_bow(
-    bow: DataFrame, word_vectors: DataFrame, *,
-    dimension: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+    limit = BROADCAST_BYTES // (_ROW_BYTES + 8 * (dimension or DIMENSION))
+    columns = ["id", "weight", "_vector"]
+    if has_at_most(words, limit):
+        return rows.join(F.broadcast(words), "term").select(*columns)
+    counts = rows.groupBy("term").agg(F.count("*").alias("_count"))
+    all_rows = rows.agg(F.count("*")).scalar()
+    frequent = F.broadcast(counts.where(F.col("_count") * limit >= all_rows).select("term"))
+    by_broadcast = rows.join(F.broadcast(words.join(frequent, "term", "left_semi")), "term")
+    by_shuffle = rows.join(frequent, "term", "left_anti").join(words, "term")
+    return by_broadcast.select(*columns).unionByName(by_shuffle.select(*columns))
+
+
+def embed_bow(bow: DataFrame, word_vectors: DataFrame, *, dimension: int | None = None) -> DataFrame:
     """(id, embedding): mean of the vectors of the terms of each id, by weight.
 
     Terms without a vector count neither above nor below the line; an id without any
-    known term, or with total weight 0, is left out.
+    known term, or with total weight 0, is left out. Best fed from stored maps, where the
+    terms of an id lie together.
     """
-    joined = _weighted_vectors(bow, word_vectors, broadcast_rows)
-    return _element_sums(joined, ["id"], "_vector", F.col("weight"), dimension)
+    words = word_vectors.select(F.col("word").alias("term"), F.col("embedding").alias("_vector"))
+    return _element_sums(_known_terms(bow, words, dimension), ["id"], "_vector", F.col("weight"), dimension)
+
+
+def embed_tokens(
+    tokenized: DataFrame, word_vectors: DataFrame, idf: DataFrame, *,
+    unknown_weight: float | None = None, dimension: int | None = None,
+) -> DataFrame:
+    """``embed_bow`` of the tf-idf weights of the tokens, without forming the bags of words.
+
+    Every occurrence counts with its idf: the number of tokens of an id divides both sums
+    of the mean and cancels out. The idf is attached to the vocabulary, not to the tokens.
+    """
+    weights = idf.select(F.col("token").alias("term"), F.col("weight").alias("_idf"))
+    words = (
+        word_vectors.select(F.col("word").alias("term"), F.col("embedding").alias("_vector"))
+        .join(weights, "term", "left")
+        .select("term", "_vector", F.coalesce("_idf", unknown_term_weight(idf, unknown_weight)).alias("weight"))
+    )
+    rows = tokenized.select("id", F.explode("terms").alias("term"))
+    return _element_sums(_known_terms(rows, words, dimension), ["id"], "_vector", F.col("weight"), dimension)
 
 
 def embed_texts(
     df: DataFrame, word_vectors: DataFrame, idf: DataFrame, *, id: str = "id", text: str = "text",
-    unknown_weight: float | None = None, token_fn: TokenFn | None = None,
-    dimension: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
+    unknown_weight: float | None = None, token_fn: TokenFn | None = None, dimension: int | None = None,
 ) -> DataFrame:
-    """Texts to vectors: tokenize, weigh, average. One row per id is expected."""
+    """Texts to vectors: tokenize, weigh, average."""
     tokenized = tokenize_texts(df, id, text, token_fn=token_fn)
-    bow = tf_idf(tokenized, idf, unknown_weight=unknown_weight, one_row_per_id=True)
-    return embed_bow(bow, word_vectors, dimension=dimension, broadcast_rows=broadcast_rows)
+    return embed_tokens(tokenized, word_vectors, idf, unknown_weight=unknown_weight, dimension=dimension)
 
 
 def embed_submissions(

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlens.session import checkpointed
 
-# Largest lookup that is broadcast on request; anything above takes a shuffle join.
+# Largest lookup that is broadcast on request; anything above takes another way.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 200_000_000
 # Largest block of rows of one key that meets another block in one group of a self join.
 BLOCK_ROWS = 2_000
 

@@ -221,16 +221,16 @@ def submission_bow(t: Tables) -> DataFrame:
     return rows.select("id", "term", F.round("weight", 9).alias("weight"))
 
 
-def _paper_word_vectors(t: Tables, words: DataFrame | None = None, idf: DataFrame | None = None) -> DataFrame:
+def _paper_word_vectors(t: Tables, words: DataFrame) -> DataFrame:
+    """From stored bags of words."""
     abstracts = _stored_abstracts(t)
-    weighted = bow.tf_idf(abstracts, idf if idf is not None else _idf(t, abstracts))
-    words = words if words is not None else checkpointed(t.word_vectors())
-    return embeddings.embed_bow(weighted, words, dimension=WORD_DIMENSION)
+    maps = bow.to_maps(bow.tf_idf(abstracts, _idf(t, abstracts)))
+    return embeddings.embed_bow(bow.from_maps(maps), words, dimension=WORD_DIMENSION)
 
 
 @query
 def paper_embedding_weighted_mean(t: Tables) -> DataFrame:
-    return long_form(_paper_word_vectors(t), "id")
+    return long_form(_paper_word_vectors(t, checkpointed(t.word_vectors())), "id")
 
 
 @query
@@ -583,7 +583,9 @@ def scope_contrast_papers(t: Tables) -> DataFrame:
 def _text_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Vectors of all papers and of the submissions from their texts."""
     idf, words = _idf(t), checkpointed(t.word_vectors())
-    papers = checkpointed(_paper_word_vectors(t, words, idf))
+    papers = checkpointed(embeddings.embed_texts(
+        t.papers(), words, idf, id="eid", text="abstr", dimension=WORD_DIMENSION
+    ))
     sent = embeddings.embed_submissions(t.submissions(), words, idf, dimension=WORD_DIMENSION)
     return papers, t.submissions().drop("text").join(sent, "query_id")
 
