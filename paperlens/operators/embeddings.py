@@ -16,33 +16,40 @@ _ROW_BYTES = 100  # a broadcast row apart from its vector
 
 
 def _element_sums(
-    df: DataFrame, keys: Sequence[str], vector: str, weight: Column, dimension: int | None
+    df: DataFrame, keys: Sequence[str], vector: str, weight: Column, dimension: int | None,
+    total: str | None = None,
 ) -> DataFrame:
     """Per key: sum of weight * vector by element, over the sum of weights. Keys of total 0 drop out.
+    ``total`` names a column for the sum of weights.
 
     With a known dimension every element is a column of one hash aggregate, so tasks
     combine their rows before the shuffle; otherwise elements are exploded first.
     """
+    kept = [F.col("_n").alias(total)] if total else []
     if dimension is None:
         exploded = df.select(*keys, weight.alias("_w"), F.posexplode(vector).alias("_pos", "_x"))
         means = exploded.groupBy(*keys, "_pos").agg(
             F.sum(F.col("_x") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n")
         ).where(F.col("_n") != 0)
         packed = F.array_sort(F.collect_list(F.struct("_pos", (F.col("_s") / F.col("_n")).alias("_x"))))
-        return means.groupBy(*keys).agg(packed.alias("_packed")).select(
-            *keys, F.transform("_packed", lambda e: e["_x"]).alias("embedding")
+        return means.groupBy(*keys).agg(packed.alias("_packed"), F.max("_n").alias("_n")).select(
+            *keys, F.transform("_packed", lambda e: e["_x"]).alias("embedding"), *kept
         )
     weighted = df.select(*keys, weight.alias("_w"), F.col(vector).alias("_v"))
     sums = [F.sum(F.col("_v")[i] * F.col("_w")).alias(f"_s{i}") for i in range(dimension)]
     summed = weighted.groupBy(*keys).agg(F.sum("_w").alias("_n"), *sums)
     return summed.where(F.col("_n") != 0).select(
-        *keys, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(dimension)]).alias("embedding")
+        *keys, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(dimension)]).alias("embedding"), *kept
     )
 
 
-def centroids(df: DataFrame, *keys: str, vector: str = "embedding", dimension: int | None = None) -> DataFrame:
-    """Element-wise mean of the vectors of each key."""
-    return _element_sums(df.where(F.col(vector).isNotNull()), keys, vector, F.lit(1.0), dimension)
+def centroids(
+    df: DataFrame, *keys: str, vector: str = "embedding", weight: str | None = None,
+    total: str | None = None, dimension: int | None = None,
+) -> DataFrame:
+    """Element-wise mean of the vectors of each key, by ``weight`` if given; ``total`` adds its sum, or the count."""
+    share = F.lit(1.0) if weight is None else F.col(weight)
+    return _element_sums(df.where(F.col(vector).isNotNull()), keys, vector, share, dimension, total)
 
 
 def _known_terms(rows: DataFrame, words: DataFrame, dimension: int | None) -> DataFrame:

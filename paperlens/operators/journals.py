@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens.operators.embeddings import centroids
 from paperlens.operators.frames import require_columns
+from paperlens.session import checkpointed
 
 
 def vectors_with_papers(papers: DataFrame, vectors: DataFrame, *columns: str | Column) -> DataFrame:
@@ -35,6 +36,19 @@ def journal_year_centroids(
     return result if areas is None else with_areas(result, areas)
 
 
+def journal_and_year_centroids(
+    papers: DataFrame, vectors: DataFrame, *, dimension: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Both of the above from one pass over the vectors: years are averaged by their papers."""
+    rows = vectors_with_papers(papers, vectors, "issn", "year")
+    years = checkpointed(centroids(rows, "issn", "year", total="_papers", dimension=dimension))
+    journals = centroids(years, "issn", weight="_papers", dimension=dimension)
+    return (
+        journals.select(F.col("issn").alias("id"), "embedding"),
+        years.select(F.col("issn").alias("id"), "embedding", "year"),
+    )
+
+
 def with_areas(journal_vectors: DataFrame, areas: DataFrame) -> DataFrame:
     """Add the subject areas of the journal, an empty list if it has none."""
     known = areas.select(F.col("issn").alias("id"), "subjareas")

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from paperlens.operators.tokens import tokenize_texts
+
 
 def _together(tables: tuple[DataFrame, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select("id", "terms") for t in tables])
@@ -19,11 +21,16 @@ def term_frequency(*tokenized: DataFrame) -> DataFrame:
     )
 
 
-def doc_frequency(*tokenized: DataFrame) -> DataFrame:
-    """Distinct ids that contain each token; a row's repeats are dropped before the shuffle."""
+def doc_frequency(*tokenized: DataFrame, one_row_per_id: bool = False) -> DataFrame:
+    """Distinct ids that contain each token; a row's repeats are dropped before the shuffle.
+
+    With ``one_row_per_id`` (all tables taken together) rows are counted instead of ids,
+    so tasks send one number per token and not every pair of token and id.
+    """
+    count = F.count("*") if one_row_per_id else F.countDistinct("id")
     return (
         _together(tokenized).select("id", F.explode(F.array_distinct("terms")).alias("token"))
-        .groupBy("token").agg(F.countDistinct("id").alias("freq"))
+        .groupBy("token").agg(count.alias("freq"))
     )
 
 
@@ -37,3 +44,11 @@ def vocabulary(abstracts: DataFrame, titles: DataFrame) -> tuple[DataFrame, Data
     """Term frequencies, document frequencies and idf weights of abstracts and titles together."""
     doc_freq = doc_frequency(abstracts, titles)
     return term_frequency(abstracts, titles), doc_freq, idf_weights(doc_freq, abstracts, titles)
+
+
+def vocabulary_of_papers(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``vocabulary`` straight from the texts of unique papers: title and abstract make one row."""
+    both = papers.select("eid", F.concat_ws("\n", "title", "abstr").alias("text"))
+    tokenized = tokenize_texts(both, "eid")
+    doc_freq = doc_frequency(tokenized, one_row_per_id=True)
+    return term_frequency(tokenized), doc_freq, idf_weights(doc_freq, tokenized.where(F.size("terms") > 0))

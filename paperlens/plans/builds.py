@@ -79,8 +79,9 @@ class EmbeddingBuild:
 
     def journal_vectors(self) -> None:
         source, vectors, size = self._read("papers"), self._read("paper_vectors"), self.catalog.dimension
-        self.catalog.save(journals.journal_centroids(source, vectors, dimension=size), "journal_vectors")
-        self.catalog.save(journals.journal_year_centroids(source, vectors, dimension=size), "journal_year_vectors")
+        by_journal, by_year = journals.journal_and_year_centroids(source, vectors, dimension=size)
+        self.catalog.save(by_journal, "journal_vectors")
+        self.catalog.save(by_year, "journal_year_vectors")
 
     def area_encoding(self) -> None:
         source = self._read("papers")

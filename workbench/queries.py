@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from paperlens.operators.frames import percent_ranked
 from paperlens.operators import (
     authors as au, bow, classifiers, coauthors, embeddings, journals, neighbors, onehot, originality,
     pagerank, papers as pp, percentiles, scope, tokens, trending, vocabulary, wordvectors,
@@ -194,6 +195,16 @@ def doc_frequency(t: Tables) -> DataFrame:
     return vocabulary.doc_frequency(_abstracts(t), _titles(t))
 
 
+@query
+def doc_frequency_of_papers(t: Tables) -> DataFrame:
+    return vocabulary.vocabulary_of_papers(t.papers())[1]
+
+
+@query
+def idf_weights_of_papers(t: Tables) -> DataFrame:
+    return vocabulary.vocabulary_of_papers(t.papers())[2].select("token", r6("weight"))
+
+
 @query
 def idf_weights(t: Tables) -> DataFrame:
     return _idf(t).select("token", r6("weight"))
@@ -328,6 +339,12 @@ def journal_year_centroids_with_areas(t: Tables) -> DataFrame:
     return long_form(rows.withColumn("year", F.col("year").cast("int")), "id", "year", "subjareas")
 
 
+@query
+def journal_centroids_from_years(t: Tables) -> DataFrame:
+    by_journal, _ = journals.journal_and_year_centroids(t.papers(), t.vectors(), dimension=VECTOR_DIMENSION)
+    return long_form(by_journal, "id")
+
+
 @query
 def area_index(t: Tables) -> DataFrame:
     return onehot.area_index(t.papers())
@@ -403,6 +420,13 @@ def latest_hindex(t: Tables) -> DataFrame:
     return _hindex(t)
 
 
+@query
+def journal_hindex_percent_rank(t: Tables) -> DataFrame:
+    """One row per author: the form for values too many to list by journal."""
+    rows = t.journal_authors().join(_hindex(t), "auid")
+    return percent_ranked(rows, "issn", "hindex").select("issn", "auid", "hindex", r6("ptile"))
+
+
 @query
 def hindex_percentile_by_journal(t: Tables) -> DataFrame:
     return au.hindex_percentiles(t.journal_authors(), _hindex(t)).select("issn", "hindex", r6("ptile"))

@@ -381,6 +381,8 @@ ORACLES: dict[str, str] = {
         "lower(term) AS term FROM submission_tokens")),
     "term_frequency": _with("all_tokens", _FREQ.format("count(*)")),
     "doc_frequency": _with("all_tokens", _FREQ.format("count(DISTINCT id)")),
+    "doc_frequency_of_papers": _with("all_tokens", _FREQ.format("count(DISTINCT id)")),
+    "idf_weights_of_papers": _with("idf", f"SELECT token, {r6('weight', 'weight')} FROM idf"),
     "idf_weights": _with("idf", f"SELECT token, {r6('weight', 'weight')} FROM idf"),
     "tfidf_bow": _with("title_idf abstract_tokens", _BOW.format("rows"), {
         "rows": (_tfidf("abstract_tokens", "title_idf", _MAX_IDF.format("title_idf")), "")}),
@@ -397,6 +399,7 @@ ORACLES: dict[str, str] = {
     "k_farthest": _with("", _nearest("d2 DESC, id", 10), _JOURNAL_PAIRS),
     "k_best_by_order": _with("", _nearest("floor(d2 * 10), id DESC", 7), _JOURNAL_PAIRS),
     "journal_centroids": _with("centroids", "SELECT issn AS id, pos, value FROM (" + _long("centroids", "issn", D) + ")"),
+    "journal_centroids_from_years": _with("centroids", "SELECT issn AS id, pos, value FROM (" + _long("centroids", "issn", D) + ")"),
     "journal_year_centroids": _with("year_centroids", (
         "SELECT issn AS id, year, pos, value FROM (" + _long("year_centroids", "issn, year", D) + ")")),
     "journal_centroids_with_areas": _with("centroids journal_areas", (
@@ -423,6 +426,9 @@ ORACLES: dict[str, str] = {
         f"{r6('true_negatives / nullif(predicted_negatives, 0)', 'npv')} FROM ({_METRICS})"),
     "latest_hindex": _with("hindex", "SELECT auid, hindex FROM hindex"),
     "hindex_percentile_by_journal": _with("ptiles", f"SELECT issn, hindex, {r6('ptile', 'ptile')} FROM ptiles"),
+    "journal_hindex_percent_rank": _with("journal_authors hindex", (
+        f"SELECT issn, auid, hindex, {r6('p', 'ptile')} FROM (SELECT j.issn, j.auid, h.hindex, "
+        "percent_rank() OVER (PARTITION BY j.issn ORDER BY h.hindex) AS p FROM journal_authors j JOIN hindex h ON j.auid = h.auid)")),
     "academic_authority": _with("journal_authors order_hindex order_ptiles", (
         f"SELECT issn, auid, hindex, {r6('p', 'authority')} FROM (SELECT j.issn, j.auid, h.hindex, CASE WHEN h.hindex IS NULL THEN NULL "
         "WHEN NOT EXISTS (SELECT 1 FROM order_ptiles t WHERE t.issn = j.issn AND t.hindex >= h.hindex) THEN 1 "
