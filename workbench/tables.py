@@ -11,7 +11,6 @@ from paperlens.schemas import AUTHOR, PAPER_SOURCE
 
 VECTOR_DIMENSION = 64
 WORD_DIMENSION = 4
-SMALL_TABLE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -23,9 +22,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def documents(self) -> DataFrame:
-        """A file of one row group is read by one task; then the texts are dealt to all cores."""
+        """Files of fewer splits than cores (such as one row group) are dealt to all cores."""
         cores, df = self.spark.sparkContext.defaultParallelism, self.given("documents")
-        return df.repartition(cores) if df.count() < SMALL_TABLE else df
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     def raw_papers(self) -> DataFrame:
         """Every 11th paper lacks its title, every 13th has a malformed date."""
