@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Store ``df`` in the shared folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, where it is not installed on them."""
+    package = Path(__file__).resolve().parent
+    if package.name + ".zip" in (getattr(spark.sparkContext, "_python_includes", None) or []):
+        return
+    archive = str(Path(tempfile.mkdtemp(prefix="paperlens-zip-")) / package.name)
+    spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))

@@ -11,6 +11,14 @@ from paperlens.functions.percentile import percentile_in
 from paperlens.operators.percentiles import normalize
 
 
+@pytest.fixture(autouse=True)
+def many_slices(spark):
+    """Small tables would be coalesced into one slice."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """Two thirds of the rows have one key, many values are equal."""
@@ -64,6 +72,11 @@ def test_pairs_within_blocks(spark, rows, block_rows):
     assert rows(got) == rows(wanted)
 
 
+def test_slices_divide_a_hot_key(spark, skewed):
+    sliced = skewed.select("key", "value").distinct().repartitionByRange("key", "value")
+    assert sliced.where("key = 'hot'").select(F.spark_partition_id()).distinct().count() > 3
+
+
 def test_bounds(spark):
     df = spark.range(10)
     assert frames.has_at_most(df, 10) and not frames.has_at_most(df, 9)

@@ -11,7 +11,7 @@ from paperlens.operators import (
     authors as au, bow, classifiers, coauthors, embeddings, journals, neighbors, onehot, originality,
     pagerank, papers as pp, percentiles, scope, tokens, trending, vocabulary, wordvectors,
 )
-from paperlens.session import checkpointed
+from paperlens.session import checkpointed, ship
 from paperlens.sources.corpus import bind_references
 from workbench.tables import VECTOR_DIMENSION, WORD_DIMENSION, Tables
 
@@ -32,7 +32,11 @@ def query(fn: Query) -> Query:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, folder: fn(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Tables(spark, folder))
+
+        return run
 
     return {name: bound(fn) for name, fn in QUERIES.items()}
 
