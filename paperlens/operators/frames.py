@@ -47,15 +47,18 @@ def pairs_within(
     right_carry: Sequence[str] = (),
     ordered: Callable[[Column, Column], Column] | None = None,
     block_rows: int = BLOCK_ROWS,
+    store: bool = True,
 ) -> DataFrame:
     """Join ``df`` with itself on ``key``: columns left, right, ``carry``, ``right_carry`` + '_right'.
 
     ``ordered`` restricts the pairs (by the two members). The work of a key grows with the
     square of its rows, which a split by input bytes does not see. So rows of a key above
     ``block_rows`` are dealt into blocks and every two blocks meet in a group of their own.
-    The rows are checkpointed: they are read to find such keys and as both sides.
+    The rows are checkpointed, as they are read to find such keys and as both sides;
+    ``store=False`` spares that for wide rows.
     """
-    rows = checkpointed(df.where(F.col(key).isNotNull()))
+    rows = df.where(F.col(key).isNotNull())
+    rows = checkpointed(rows) if store else rows
     hot = (
         rows.groupBy(key).count().where(F.col("count") > block_rows)
         .select(key, F.ceil(F.col("count") / F.lit(block_rows)).cast("int").alias("_blocks"))
@@ -70,7 +73,7 @@ def pairs_within(
         dealt = (
             rows.join(broadcast_if_small(hot), key, "left")
             .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-            .withColumn("_block", F.pmod(F.xxhash64(member, *carry, *right_carry), "_blocks").cast("int"))
+            .withColumn("_block", F.pmod(F.xxhash64(member), "_blocks").cast("int"))
             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         )
         left = dealt.select(key, F.col("_block").alias("_i"), F.col("_other").alias("_j"), *left_cols)

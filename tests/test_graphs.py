@@ -98,5 +98,9 @@ def test_originality(spark, rows):
     assert rows(originality.earlier_paper_pairs(authors, vectors, strict=True)) == [
         ("1", "J", "2"), ("3", "K", "1"), ("3", "K", "2")]
     assert ("9", "K", "1") in rows(originality.earlier_paper_pairs(authors))
+    assert rows(originality.author_distances(authors, vectors)) == rows(originality.originality_distances(pairs))
+    strict = originality.originality_pairs(authors, vectors, strict=True)
+    assert rows(originality.author_distances(authors, vectors, strict=True)) == rows(
+        originality.originality_distances(strict))
     halved = originality.originality_distances(pairs, lambda x, y: F.abs(x[0] - y[0]) / 2)
     assert ("3", "K", "1", 2.5) in rows(halved)

@@ -551,6 +551,11 @@ def originality_distances(t: Tables) -> DataFrame:
     return distances.select("eid", "issn", "eid_asc", r6("d2"))
 
 
+@query
+def originality_distances_by_author(t: Tables) -> DataFrame:
+    return originality.author_distances(t.dated_authors(), t.vectors()).select("eid", "issn", "eid_asc", r6("d2"))
+
+
 @query
 def trending_reference(t: Tables) -> DataFrame:
     rows = trending.trending_reference(t.papers(), t.vectors(), _year_centroids(t))

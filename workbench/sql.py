@@ -498,3 +498,4 @@ ORACLES: dict[str, str] = {
         "SELECT query_id AS eid, id, d2, rank FROM (" + _nearest("d2, id", 5) + ")"), _CONTRAST),
     "scope_match_for_texts": _scope(_SENT, "text_vectors", _VALUE),
 }
+ORACLES["originality_distances_by_author"] = ORACLES["originality_distances"]
