@@ -87,7 +87,7 @@ def _embedded(bow: str) -> str:
 
 def _long(source: str, keys: str, width: int) -> str:
     return (
-        f"SELECT {keys}, pos, {r6('x', 'value')} FROM (SELECT {keys}, unnest(range({width})) AS pos, "
+        f"SELECT {keys}, CAST(pos AS INTEGER) AS pos, {r6('x', 'value')} FROM (SELECT {keys}, unnest(range({width})) AS pos, "
         f"unnest(embedding) AS x FROM {source})"
     )
 
