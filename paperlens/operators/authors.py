@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from paperlens.functions.percentile import percentile_in
 
 
+_SNAPSHOT = 1 << 40  # exceeds twice any h-index
+
+
 def latest_hindex(*snapshots: DataFrame, distinct: bool = False) -> DataFrame:
     """(auid, hindex) of the newest snapshot an author is in (the last given is newest).
 
@@ -19,9 +22,12 @@ def latest_hindex(*snapshots: DataFrame, distinct: bool = False) -> DataFrame:
         s.select("auid", F.col("hindex").cast("long").alias("hindex"), F.lit(i).alias("src"))
         for i, s in enumerate(snapshots)
     ])
-    counted = tagged.groupBy("auid", "src", "hindex").agg(F.count("*").cast("int").alias("copies"))
-    newest = counted.groupBy("auid").agg(F.max(F.struct("src", "hindex", "copies")).alias("_top"))
-    rows = newest.select("auid", F.col("_top.hindex").alias("hindex"), F.col("_top.copies").alias("copies"))
+    # Snapshot and value in one number, so that hash aggregates can keep the largest.
+    order = F.col("src").cast("long") * F.lit(_SNAPSHOT) + F.col("hindex")
+    counted = tagged.groupBy("auid", order.alias("order")).agg(F.count("*").cast("int").alias("copies"))
+    newest = counted.groupBy("auid").agg(F.max("order").alias("top"), F.max_by("copies", "order").alias("copies"))
+    snapshot = F.floor((F.col("top") + F.lit(_SNAPSHOT // 2)) / F.lit(float(_SNAPSHOT)))
+    rows = newest.select("auid", (F.col("top") - snapshot * F.lit(_SNAPSHOT)).alias("hindex"), "copies")
     if distinct:
         return rows.select("auid", "hindex")
     return rows.select("auid", "hindex", F.explode(F.sequence(F.lit(1), "copies"))).select("auid", "hindex")

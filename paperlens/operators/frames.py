@@ -32,6 +32,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, rows) else df
 
 
+def computed_once(column: Column) -> Column:
+    """``column`` such that filters on it cannot be pushed below and compute it a second time.
+
+    For costly expressions that are filtered or exploded later; takes the place of the one
+    generator a select may have.
+    """
+    return F.explode(F.array(column))
+
+
 def hash_share(key: str, seed: int = 0) -> Column:
     """Uniform number in [0, 1) that depends on the key only, so it survives recomputation."""
     steps = 1 << 30
@@ -95,10 +104,11 @@ def running(
     name: str,
     *,
     descending: Sequence[str] = (),
+    total: str | None = None,
 ) -> DataFrame:
     """``combine(value)`` over the rows of the same keys that come strictly before, as ``name``.
 
-    ``keys`` + ``order`` must identify a row. No key is gathered in one task: rows are
+    ``keys`` + ``order`` must identify a row; ``total`` names a column for all rows of the keys. No key is gathered in one task: rows are
     sorted into range slices over all tasks, accumulated inside each slice, and what
     earlier slices of the same key amount to is added from one row per key and slice.
     The slices are checkpointed because a second evaluation could cut them elsewhere.
@@ -117,8 +127,10 @@ def running(
     carried = (
         sliced.groupBy(*on).agg(combine(F.col(value)).alias("_total"))
         .withColumn("_carried", combine(F.col("_total")).over(earlier.rowsBetween(*strictly_before)))
-        .drop("_total")
     )
+    if total:
+        carried = carried.withColumn(total, combine(F.col("_total")).over(Window.partitionBy(*keys)))
+    carried = carried.drop("_total")
     return (
         sliced.withColumn("_inside", combine(F.col(value)).over(inside.rowsBetween(*strictly_before)))
         .join(carried, on)
@@ -128,10 +140,11 @@ def running(
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str,
-                descending: Sequence[str] = ()) -> DataFrame:
+                descending: Sequence[str] = (), total: str | None = None) -> DataFrame:
     return running(
         df, keys, order, value, F.sum,
-        lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), name, descending=descending,
+        lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), name,
+        descending=descending, total=total,
     )
 
 
@@ -154,9 +167,8 @@ def percent_ranked(df: DataFrame, key: str, value: str, name: str = "ptile") ->
     Equal values are counted before the sort, so copies do not pile up either.
     """
     counts = df.groupBy(key, value).agg(F.count("*").alias("_count"))
-    before = running_sum(counts, [key], [value], "_count", "_before")
-    totals = before.groupBy(key).agg(F.sum("_count").alias("_all"))
-    ranks = before.join(totals, key).select(
+    before = running_sum(counts, [key], [value], "_count", "_before", total="_all")
+    ranks = before.select(
         key, value,
         F.when(F.col("_all") > 1, F.col("_before") / (F.col("_all") - 1).cast("double"))
         .otherwise(F.lit(0.0)).alias(name),

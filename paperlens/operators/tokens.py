@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from paperlens.functions.text import NUMERIC_MASKS, TokenFn, mask, sentences, tokens
+from paperlens.operators.frames import computed_once
 
 
 def mask_texts(df: DataFrame, text: str = "text", masks: Sequence[tuple[str, str]] = NUMERIC_MASKS) -> DataFrame:
@@ -27,7 +28,7 @@ def tokenize_per_sentence(
     position = ["sentence"] if with_position else []
     return (
         df.select(F.col(id).alias("id"), F.posexplode(sentences(body)).alias("sentence", "_sentence"))
-        .select("id", *position, tokens(F.col("_sentence"), token_fn).alias("terms"))
+        .select("id", *position, computed_once(tokens(F.col("_sentence"), token_fn)).alias("terms"))
         .where(F.size("terms") > 0)
     )
 
@@ -35,7 +36,7 @@ def tokenize_per_sentence(
 def tokenize_texts(df: DataFrame, id: str = "id", text: str = "text", *, token_fn: TokenFn | None = None) -> DataFrame:
     """(id, terms) per text: the tokens of all its sentences in order."""
     per_sentence = F.transform(sentences(F.col(text)), lambda s: tokens(s, token_fn))
-    return df.select(F.col(id).alias("id"), F.flatten(per_sentence).alias("terms"))
+    return df.select(F.col(id).alias("id"), computed_once(F.flatten(per_sentence)).alias("terms"))
 
 
 def tokenize_abstracts(papers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperlens.functions.text import tokens
+from paperlens.operators.frames import computed_once
 from paperlens.schemas import AUTHOR, PAPER_SOURCE
 
 VECTOR_DIMENSION = 64
@@ -90,7 +91,8 @@ class Tables:
         """Tokens of four letters or more have a vector; shorter ones are unknown words."""
         word = F.col("word")
         words = (
-            self.documents().select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+            self.documents().select(computed_once(F.array_distinct(tokens(F.col("text")))).alias("words"))
+            .select(F.explode("words").alias("word"))
             .where(F.length("word") >= 4).distinct()
         )
         vector = F.array(
