@@ -1,7 +1,7 @@
 """Time the headline queries on one folder and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all cores),
-BENCH_RUNS timed runs per query after one warm run (default 2, the median counts),
+BENCH_RUNS timed runs per query after one warm run (default 1; the median counts),
 BENCH_QUERIES a comma-separated list instead of the headline queries.
 """
 
@@ -30,7 +30,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark, known, seconds = local_session(cores), registered(), {}
     for name in names:
