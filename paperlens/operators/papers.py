@@ -80,7 +80,7 @@ def dated_paper_authors(papers: DataFrame, *, year_pattern: str = YEAR_PATTERN)
         .select(
             "eid", "issn", "subjareas",
             year_of(F.col("datesort")).alias("year"), month_of(F.col("datesort")).alias("month"),
-            F.explode("au.auid").alias("auid"),
+            F.explode(F.array_distinct("au.auid")).alias("auid"),
         )
         .dropDuplicates(["eid", "auid"])
     )
