@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe
+from paperlens.llm import bpe, secrets
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,14 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents", "doc_id", "text"))
+    spans = F.col("secrets")
+    return found.select(
+        "doc_id", *[secrets.count_of(spans, kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.span_list(spans, secrets.BASE_KINDS), 256).alias("base_sha256"),
+        secrets.span_list(spans).alias("spans"),
+    )
