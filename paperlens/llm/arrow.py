@@ -32,16 +32,15 @@ def steps(batches: Iterator[pa.RecordBatch], column: str | None = None,
 
 
 def map_texts(df: DataFrame, text: str, added: dict[str, pa.DataType], schema: str,
-              work: Callable[[list[str]], list[list]], keep_text: bool = False) -> DataFrame:
+              work: Callable[..., list[list]], keep_text: bool = False, also: str | None = None) -> DataFrame:
     """Add the columns that ``work`` makes of the texts (null counts as empty) of a step.
 
     ``added`` and ``schema`` give the new columns for Arrow and for Spark, in one order.
+    ``also`` names a string column whose values ``work`` gets as second argument (null: empty).
     Columns of the same name are replaced.
     """
-    import pyarrow.compute  # noqa: F401  (used by steps on the executors)
-
     kept = [c for c in df.columns if c not in added]
-    source = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
+    source = df.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text, *([also] if also else [])])])
     kept = [c for c in kept if keep_text or c != text]
     out = StructType([df.schema[c] for c in kept]).simpleString()[7:-1]
 
@@ -49,7 +48,8 @@ def map_texts(df: DataFrame, text: str, added: dict[str, pa.DataType], schema: s
         import pyarrow.compute  # noqa: F401
 
         for batch in steps(batches, text):
-            made = work([t or "" for t in batch.column(text).to_pylist()])
+            given = [[t or "" for t in batch.column(c).to_pylist()] for c in ([text, also] if also else [text])]
+            made = work(*given)
             arrays = [batch.column(c) for c in kept]
             arrays += [pa.array(values, kind) for values, kind in zip(made, added.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *added])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, secrets
+from paperlens.llm import bpe, quality, secrets
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,12 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.span_list(spans, secrets.BASE_KINDS), 256).alias("base_sha256"),
         secrets.span_list(spans).alias("spans"),
     )
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.assess(table(spark, folder, "documents", "doc_id", "text", "lang"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "class_distance", "word_distance",
+    )
