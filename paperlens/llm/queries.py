@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, quality, secrets
+from paperlens.llm import bpe, decontaminate, quality, secrets
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,14 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "class_distance", "word_distance",
     )
+
+
+@query
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    found = decontaminate.find_matches(documents, table(spark, folder, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"), "longest_match",
+    )
