@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, decontaminate, quality, secrets
+from paperlens.llm import bpe, decontaminate, quality, secrets, sharding
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,12 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
         (F.size("hit_spans") > 0).alias("contaminated"), "longest_match",
     )
+
+
+@query
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.shard(table(spark, folder, "documents", "doc_id", "text"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
