@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, decontaminate, quality, secrets, sharding
+from paperlens.llm import bpe, decontaminate, licenses, quality, secrets, sharding
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,19 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
+    names = F.transform("licenses", lambda m: m["license"])
+    places = F.transform("licenses", lambda m: F.concat_ws(
+        ":", m["license"], m["start"].cast("string"), m["end"].cast("string")))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(names)), ",").alias("licenses"),
+        F.array_join(F.array_sort(places), ",").alias("places"),
+    )
+
+
 @query
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents", "doc_id", "text"))
