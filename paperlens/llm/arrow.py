@@ -32,11 +32,13 @@ def steps(batches: Iterator[pa.RecordBatch], column: str | None = None,
 
 
 def map_texts(df: DataFrame, text: str, added: dict[str, pa.DataType], schema: str,
-              work: Callable[..., list[list]], keep_text: bool = False, also: str | None = None) -> DataFrame:
+              work: Callable[..., list[list]], keep_text: bool = False, also: str | None = None,
+              raw: bool = False) -> DataFrame:
     """Add the columns that ``work`` makes of the texts (null counts as empty) of a step.
 
     ``added`` and ``schema`` give the new columns for Arrow and for Spark, in one order.
-    ``also`` names a string column whose values ``work`` gets as second argument (null: empty).
+    ``also`` names a string column whose values ``work`` gets as second argument (null: empty);
+    ``raw`` hands over Arrow arrays, nulls included, in place of lists.
     Columns of the same name are replaced.
     """
     kept = [c for c in df.columns if c not in added]
@@ -48,7 +50,8 @@ def map_texts(df: DataFrame, text: str, added: dict[str, pa.DataType], schema: s
         import pyarrow.compute  # noqa: F401
 
         for batch in steps(batches, text):
-            given = [[t or "" for t in batch.column(c).to_pylist()] for c in ([text, also] if also else [text])]
+            given = [batch.column(c) for c in ([text, also] if also else [text])]
+            given = given if raw else [[t or "" for t in column.to_pylist()] for column in given]
             made = work(*given)
             arrays = [batch.column(c) for c in kept]
             arrays += [pa.array(values, kind) for values, kind in zip(made, added.values(), strict=True)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, decontaminate, licenses, quality, secrets, sharding
+from paperlens.llm import bpe, decontaminate, licenses, neardup, quality, secrets, sharding
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,11 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_classes(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "class_id")
+
+
 @query
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
