@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, decontaminate, licenses, neardup, quality, secrets, sharding
+from paperlens.llm import bpe, decontaminate, licenses, neardup, quality, secrets, sharding, warc
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,17 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages", "page_id", "url", "html")
+    archive = warc.write(pages)
+    kind = dict(pages.dtypes)["page_id"]
+    return warc.read(archive, warc.find(archive, pages)).select(
+        F.col("number").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 @query
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents", "doc_id", "text"))

@@ -1,3 +1,16 @@
 """SQL for the registered queries that SQL can express on whole tables."""
 
 ORACLES: dict[str, str] = {}
+
+# Of equal payloads of 1000 bytes or more, the largest page_id is the response.
+ORACLES["op9_warc"] = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), firsts AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS first FROM payloads
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM firsts
+"""
