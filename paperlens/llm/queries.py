@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, decontaminate, licenses, neardup, quality, secrets, sharding, warc
+from paperlens.llm import bpe, decontaminate, licenses, neardup, pagetext, quality, secrets, sharding, warc
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,12 @@ def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_classes(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "class_id")
 
 
+@query
+def op6_pagetext(spark: SparkSession, folder: str) -> DataFrame:
+    found = pagetext.main_text(table(spark, folder, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(table(spark, folder, "documents", "doc_id", "text"))
