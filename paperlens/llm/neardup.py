@@ -58,8 +58,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(data: np.ndarray, borders: np.ndarray) -> Iterator[Shingles]:
-    """Shingles of the texts between the borders in ``data``, all hashed together."""
+def _words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts between the borders in ``data``, and the borders among them."""
     inside = _IS_WORD[data]
     starting = inside.copy()
     starting[1:] &= ~inside[:-1]
@@ -71,11 +71,15 @@ def _hashed(data: np.ndarray, borders: np.ndarray) -> Iterator[Shingles]:
         lengths = np.diff(np.append(starts, len(data)))
         place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
         words = _mixed(np.add.reduceat(_BYTE[data[starts[0]:]] * _PLACE[place & 4_095], starts - starts[0]))
+    return words, np.searchsorted(starts, borders)
+
+
+def _hashed(words: np.ndarray, edges: np.ndarray) -> Iterator[Shingles]:
+    """Shingles of the texts between the edges in ``words``, all hashed together."""
     runs = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for at in range(SHINGLE if len(runs) else 0):
         runs += words[at:at + len(runs)] * _ORDER[at]
     runs = _mixed(runs)
-    edges = np.searchsorted(starts, borders)
     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if high - low >= SHINGLE:
             yield np.unique(runs[low:high - SHINGLE + 1], return_counts=True)
@@ -86,11 +90,7 @@ def _hashed(data: np.ndarray, borders: np.ndarray) -> Iterator[Shingles]:
             yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def shingles(column: pa.Array) -> Iterator[Shingles]:
-    """Per text the hashes of its different shingles, sorted, and how often each occurs.
-
-    Words are lower-cased (A-Z) and end at ASCII white space; a text of fewer than five is one shingle.
-    """
+def _in_steps(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     import pyarrow.compute as pc
 
     column = pc.fill_null(column, "")
@@ -100,10 +100,25 @@ def shingles(column: pa.Array) -> Iterator[Shingles]:
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(borders, borders[at] + _HASHED_BYTES, "right")) - 1)
-        yield from _hashed(data[borders[at]:borders[end]], borders[at:end + 1] - borders[at])
+        yield _words(data[borders[at]:borders[end]], borders[at:end + 1] - borders[at])
         at = end
 
 
+def word_hashes(column: pa.Array) -> Iterator[np.ndarray]:
+    """Per text the 64-bit hashes of its words, lower-cased (A-Z); words end at ASCII white space."""
+    for words, edges in _in_steps(column):
+        yield from np.split(words, edges[1:-1])
+
+
+def shingles(column: pa.Array) -> Iterator[Shingles]:
+    """Per text the hashes of its different shingles, sorted, and how often each occurs.
+
+    Words are lower-cased (A-Z) and end at ASCII white space; a text of fewer than five is one shingle.
+    """
+    for words, edges in _in_steps(column):
+        yield from _hashed(words, edges)
+
+
 @dataclass
 class Weights:
     """idf of the frequent shingles; all others have the ceiling."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, decontaminate, licenses, neardup, pagetext, quality, secrets, sharding, warc
+from paperlens.llm import bpe, decontaminate, licenses, neardup, pagetext, pitman_yor, quality, secrets, sharding, warc
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,11 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages", "page_id", "url", "html")
