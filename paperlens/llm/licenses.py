@@ -78,6 +78,8 @@ def _prepared(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> li
     """Per template its name, distinct shingles, MinHash values and the shingles that have them."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
+    if not templates:
+        return []
     rows = F.explode(F.array(*[
         F.struct(F.lit(at).alias("at"), F.lit(text).alias("text")) for at, (_, text) in enumerate(templates)]))
     numbers = F.array(*[F.lit(i) for i in range(HASHES)])
