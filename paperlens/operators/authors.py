@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlens.functions.percentile import percentile_in
-
-
-_SNAPSHOT = 1 << 40  # exceeds twice any h-index
+from paperlens.operators.frames import lookup_join
 
 
 def latest_hindex(*snapshots: DataFrame, distinct: bool = False) -> DataFrame:
     """(auid, hindex) of the newest snapshot an author is in (the last given is newest).
 
-    Of several values there the largest counts. Exact copies of that row are kept unless
-    ``distinct``. Copies are counted before the shuffle, so they never gather in one task.
+    Of several values there the largest counts; null only where there is no other. Exact copies of
+    that row are kept unless ``distinct``. Copies are counted before the shuffle, so they never gather in
+    one task, and per snapshot there is a column of one hash aggregate.
     """
     tagged = reduce(DataFrame.unionByName, [
         s.select("auid", F.col("hindex").cast("long").alias("hindex"), F.lit(i).alias("src"))
         for i, s in enumerate(snapshots)
     ])
-    # Snapshot and value in one number, so that hash aggregates can keep the largest.
-    order = F.col("src").cast("long") * F.lit(_SNAPSHOT) + F.col("hindex")
-    counted = tagged.groupBy("auid", order.alias("order")).agg(F.count("*").cast("int").alias("copies"))
-    newest = counted.groupBy("auid").agg(F.max("order").alias("top"), F.max_by("copies", "order").alias("copies"))
-    snapshot = F.floor((F.col("top") + F.lit(_SNAPSHOT // 2)) / F.lit(float(_SNAPSHOT)))
-    rows = newest.select("auid", (F.col("top") - snapshot * F.lit(_SNAPSHOT)).alias("hindex"), "copies")
+    counted = tagged.groupBy("auid", "src", "hindex").agg(F.count("*").cast("int").alias("copies"))
+
+    def within(i: int, column: str) -> Column:
+        return F.when(F.col("src") == i, F.col(column))
+
+    numbers = range(len(snapshots))
+    newest = counted.groupBy("auid").agg(
+        F.max("src").alias("newest"),
+        *[F.max(within(i, "hindex")).alias(f"value{i}") for i in numbers],
+        *[F.max_by(within(i, "copies"), within(i, "hindex")).alias(f"copies{i}") for i in numbers],
+        *[F.sum(within(i, "copies")).cast("int").alias(f"rows{i}") for i in numbers],
+    )
+
+    def chosen(column: Callable[[int], Column]) -> Column:
+        return reduce(lambda found, i: F.when(F.col("newest") == i, column(i)).otherwise(found), numbers, F.lit(None))
+
+    rows = newest.select(
+        "auid", chosen(lambda i: F.col(f"value{i}")).alias("hindex"),
+        # Where all values are null, all rows are copies.
+        chosen(lambda i: F.coalesce(f"copies{i}", f"rows{i}")).alias("copies"),
+    )
     if distinct:
         return rows.select("auid", "hindex")
     return rows.select("auid", "hindex", F.explode(F.sequence(F.lit(1), "copies"))).select("auid", "hindex")
@@ -66,8 +81,10 @@ def academic_authority(requests: DataFrame, hindex: DataFrame, percentiles: Data
     """
     arrays = as_arrays(percentiles, "issn", "hindex")
     none = F.array().cast("array<struct<value: double, ptile: double>>")
+    valued = requests.join(hindex.select("auid", "hindex"), "auid", "left")
+    # A distribution has one element per distinct value of an h-index.
     return (
-        requests.join(hindex.select("auid", "hindex"), "auid", "left").join(arrays, "issn", "left")
+        lookup_join(valued, arrays, "issn", how="left", row_bytes=16_000)
         .withColumn("authority", percentile_in(F.col("hindex"), F.coalesce("distribution", none)))
         .select(*requests.columns, "hindex", "authority")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens.functions.text import TokenFn
 from paperlens.operators.bow import unknown_term_weight
-from paperlens.operators.frames import BROADCAST_BYTES, has_at_most
+from paperlens.operators.frames import lookup_join
 from paperlens.operators.tokens import tokenize_texts
 from paperlens.sources.catalog import DIMENSION
 
@@ -23,19 +23,23 @@ def _element_sums(
     ``total`` names a column for the sum of weights.
 
     With a known dimension every element is a column of one hash aggregate, so tasks
-    combine their rows before the shuffle; otherwise elements are exploded first.
+    combine their rows before the shuffle; otherwise elements are exploded first. A vector of
+    another length, or with a null element, is an error.
     """
     kept = [F.col("_n").alias(total)] if total else []
+    checked = _checked(F.col(vector), dimension)
     if dimension is None:
-        exploded = df.select(*keys, weight.alias("_w"), F.posexplode(vector).alias("_pos", "_x"))
+        exploded = df.select(*keys, weight.alias("_w"), F.posexplode(checked).alias("_pos", "_x"))
         means = exploded.groupBy(*keys, "_pos").agg(
-            F.sum(F.col("_x") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n")
-        ).where(F.col("_n") != 0)
+            F.sum(F.col("_x") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n"), F.count("*").alias("_rows")
+        )
         packed = F.array_sort(F.collect_list(F.struct("_pos", (F.col("_s") / F.col("_n")).alias("_x"))))
-        return means.groupBy(*keys).agg(packed.alias("_packed"), F.max("_n").alias("_n")).select(
+        packed = F.when(F.min("_rows") == F.max("_rows"), packed).otherwise(
+            F.raise_error(F.lit("vectors differ in length")).cast("array<struct<_pos:int,_x:double>>"))
+        return means.groupBy(*keys).agg(packed.alias("_packed"), F.max("_n").alias("_n")).where(F.col("_n") != 0).select(
             *keys, F.transform("_packed", lambda e: e["_x"]).alias("embedding"), *kept
         )
-    weighted = df.select(*keys, weight.alias("_w"), F.col(vector).alias("_v"))
+    weighted = df.select(*keys, weight.alias("_w"), checked.alias("_v"))
     sums = [F.sum(F.col("_v")[i] * F.col("_w")).alias(f"_s{i}") for i in range(dimension)]
     summed = weighted.groupBy(*keys).agg(F.sum("_w").alias("_n"), *sums)
     return summed.where(F.col("_n") != 0).select(
@@ -43,6 +47,14 @@ def _element_sums(
     )
 
 
+def _checked(vector: Column, dimension: int | None) -> Column:
+    """``vector`` if it has the given length and no null element."""
+    whole = F.array_position(F.transform(vector, lambda x: x.isNull()), F.lit(True)) == 0
+    fits = whole if dimension is None else (F.size(vector) == dimension) & whole
+    wrong = F.raise_error(F.lit("vectors differ in length or have null elements")).cast("array<double>")
+    return F.when(vector.isNull() | fits, vector.cast("array<double>")).otherwise(wrong)
+
+
 def centroids(
     df: DataFrame, *keys: str, vector: str = "embedding", weight: str | None = None,
     total: str | None = None, dimension: int | None = None,
@@ -60,16 +72,8 @@ def _known_terms(rows: DataFrame, words: DataFrame, dimension: int | None) -> Da
     1/limit of all rows (so at most limit terms) are broadcast, only the rare remainder is
     shuffled by term. No frequent term is thereby ever a hot key.
     """
-    limit = BROADCAST_BYTES // (_ROW_BYTES + 8 * (dimension or DIMENSION))
-    columns = ["id", "weight", "_vector"]
-    if has_at_most(words, limit):
-        return rows.join(F.broadcast(words), "term").select(*columns)
-    counts = rows.groupBy("term").agg(F.count("*").alias("_count"))
-    all_rows = rows.agg(F.count("*")).scalar()
-    frequent = F.broadcast(counts.where(F.col("_count") * limit >= all_rows).select("term"))
-    by_broadcast = rows.join(F.broadcast(words.join(frequent, "term", "left_semi")), "term")
-    by_shuffle = rows.join(frequent, "term", "left_anti").join(words, "term")
-    return by_broadcast.select(*columns).unionByName(by_shuffle.select(*columns))
+    width = _ROW_BYTES + 8 * (dimension or DIMENSION)
+    return lookup_join(rows, words, "term", row_bytes=width).select("id", "weight", "_vector")
 
 
 def embed_bow(bow: DataFrame, word_vectors: DataFrame, *, dimension: int | None = None) -> DataFrame:

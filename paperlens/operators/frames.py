@@ -32,6 +32,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, rows) else df
 
 
+def lookup_join(
+    rows: DataFrame, table: DataFrame, on: str | Sequence[str], *, how: str = "inner", row_bytes: int = 100
+) -> DataFrame:
+    """Join ``rows`` to a ``table`` with one row per key, whatever share of the rows one key has.
+
+    A table counted to fit ``BROADCAST_BYTES`` at ``row_bytes`` a row is broadcast. Of a larger one
+    only the keys are broadcast that make up 1/limit of all rows or more (so at most limit of them);
+    the rows of the other keys are shuffled. Keys are matched like an equi-join, so null meets nothing.
+    """
+    keys, limit = [on] if isinstance(on, str) else list(on), max(1, BROADCAST_BYTES // row_bytes)
+    if has_at_most(table, limit):
+        return rows.join(F.broadcast(table), keys, how)
+    counts, every = rows.groupBy(*keys).agg(F.count("*").alias("_count")), rows.agg(F.count("*")).scalar()
+    frequent = F.broadcast(counts.where(F.col("_count") * limit >= every).select(*keys))
+    often = rows.join(frequent, keys, "left_semi").join(F.broadcast(table.join(frequent, keys, "left_semi")), keys, how)
+    return often.unionByName(rows.join(frequent, keys, "left_anti").join(table, keys, how))
+
+
 def computed_once(column: Column) -> Column:
     """``column`` such that filters on it cannot be pushed below and compute it a second time.
 
@@ -173,4 +191,4 @@ def percent_ranked(df: DataFrame, key: str, value: str, name: str = "ptile") ->
         F.when(F.col("_all") > 1, F.col("_before") / (F.col("_all") - 1).cast("double"))
         .otherwise(F.lit(0.0)).alias(name),
     )
-    return df.join(ranks, [key, value])
+    return lookup_join(df, ranks, [key, value])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from paperlens.operators.coauthors import coauthor_pairs, reachable_authors
@@ -15,23 +16,34 @@ from paperlens.session import checkpointed
 
 RESET = 0.15
 TOLERANCE = 0.01
-MAX_ROUNDS = 500
+
+
+def _placed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` kept as the joins of every round need it, so that rounds shuffle ranks only. A part lost with
+    its executor is dealt anew from the stored rows."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(df).repartition(partitions, key).persist(StorageLevel.MEMORY_AND_DISK)
+    placed.count()  # The partitioning is known to later plans once the rows are there.
+    return placed
 
 
 def _iterate(
     start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int | None, tolerance: float, block: int
 ) -> DataFrame:
-    """Apply ``step`` to (auid, rank) for ``rounds`` rounds, or until ``block`` rounds move no rank by
-    more than ``tolerance``. Lineage is cut after every block."""
-    ranks, done, limit = checkpointed(start), 0, rounds if rounds is not None else MAX_ROUNDS
-    while done < limit:
-        before, count = ranks, min(block, limit - done)
+    """Apply ``step`` to (auid, rank) for ``rounds`` rounds; without, until a round moves no rank by more
+    than ``tolerance``, which it does in the end as each round shrinks the differences by 1 - reset.
+
+    ``step`` also gives the rank before the round as ``_before``. Lineage is cut after ``block`` rounds,
+    after each one where the ranks decide when to stop.
+    """
+    ranks, done = checkpointed(start), 0
+    while rounds is None or done < rounds:
+        count = 1 if rounds is None else min(block, rounds - done)
         for _ in range(count):
             ranks = step(ranks)
         ranks, done = checkpointed(ranks), done + count
         if rounds is None:
-            both = ranks.join(before.select("auid", F.col("rank").alias("_before")), "auid")
-            gap = both.agg(F.max(F.abs(F.col("rank") - F.col("_before")))).first()[0]
+            gap = ranks.agg(F.max(F.abs(F.col("rank") - F.col("_before")))).first()[0]
             if gap is None or gap <= tolerance:
                 break
     return ranks.select("auid", "rank")
@@ -50,18 +62,21 @@ def pagerank_of_edges(
     out = weighted.groupBy("left").agg(F.sum("_w").alias("_out"))
     shares = weighted.join(out, "left").select("left", "right", (F.col("_w") / F.col("_out")).alias("_share"))
     vertices = weighted.select(F.col("left").alias("auid")).union(weighted.select("right")).distinct()
-    # A link of share 0 to itself keeps a vertex that nobody links to.
-    links = checkpointed(shares.union(vertices.select("auid", "auid", F.lit(0.0))))
+    # A link of share 0 to itself keeps a vertex that nobody links to, and brings its rank before the round.
+    links = _placed(shares.union(vertices.select("auid", "auid", F.lit(0.0))), "left")
 
     def step(ranks: DataFrame) -> DataFrame:
         received = F.sum(F.col("rank") * F.col("_share"))
+        own = F.max(F.when(F.col("left") == F.col("right"), F.col("rank")))
         return (
-            links.join(ranks.withColumnRenamed("auid", "left"), "left").groupBy(F.col("right").alias("auid"))
-            .agg((F.lit(reset) + F.lit(1.0 - reset) * received).alias("rank"))
+            links.join(ranks.select(F.col("auid").alias("left"), "rank"), "left").groupBy(F.col("right").alias("auid"))
+            .agg((F.lit(reset) + F.lit(1.0 - reset) * received).alias("rank"), own.alias("_before"))
         )
 
     start = vertices.withColumn("rank", F.lit(1.0))
-    return _scaled(_iterate(start, step, rounds, tolerance, block=5))
+    ranks = _iterate(start, step, rounds, tolerance, block=5)
+    links.unpersist()
+    return _scaled(ranks)
 
 
 def pagerank_of_papers(
@@ -82,26 +97,30 @@ def pagerank_of_papers(
         F.sum(F.col("_m") * (F.col("_size") - F.col("_m"))).alias("_out"),
         F.sum(F.col("_m") * F.col("_m")).alias("_self"),
     )
-    lists = listed.select("eid", "auid", "_m")
+    by_author, by_paper = (_placed(listed.select("eid", "auid", "_m"), key) for key in ("auid", "eid"))
     start = links.select("auid", "_out", "_self", F.lit(1.0).alias("rank"))
 
     def step(ranks: DataFrame) -> DataFrame:
         per_link = ranks.select("auid", (F.col("rank") / F.col("_out")).alias("_per_link"))
         through = (
-            lists.join(per_link, "auid").groupBy("eid")
+            by_author.join(per_link, "auid").groupBy("eid")
             .agg(F.sum(F.col("_m") * F.col("_per_link")).alias("_through"))
         )
         received = (
-            lists.join(through, "eid").groupBy("auid")
+            by_paper.join(through, "eid").groupBy("auid")
             .agg(F.sum(F.col("_m") * F.col("_through")).alias("_sum"))
         )
         from_others = F.col("_sum") - F.col("rank") / F.col("_out") * F.col("_self")
         return ranks.join(received, "auid").select(
-            "auid", "_out", "_self", (F.lit(reset) + F.lit(1.0 - reset) * from_others).alias("rank")
+            "auid", "_out", "_self", (F.lit(reset) + F.lit(1.0 - reset) * from_others).alias("rank"),
+            F.col("rank").alias("_before"),
         )
 
     # A round reads the ranks twice, so plans would double with each round left uncut.
-    return _scaled(_iterate(start, step, rounds, tolerance, block=1))
+    ranks = _iterate(start, step, rounds, tolerance, block=1)
+    by_author.unpersist()
+    by_paper.unpersist()
+    return _scaled(ranks)
 
 
 def coauthor_pagerank(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from paperlens.operators.frames import running_max
+from paperlens.operators.frames import lookup_join, running_max
 
 
 def normalize(
@@ -33,7 +33,8 @@ def normalize(
         .when(asked > F.col("_top"), F.lit(1.0))
         .otherwise(F.coalesce("_below", F.lit(0.0)))
     )
+    placed = lookup_join(requests.withColumn("_v", asked), below, [key, "_v"], how="left")
     return (
-        requests.withColumn("_v", asked).join(below, [key, "_v"], "left").join(tops, key, "left")
+        lookup_join(placed, tops, key, how="left")
         .select(*requests.columns, answer.alias(name))
     )

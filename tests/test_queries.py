@@ -7,8 +7,6 @@ from workbench.check import connection, differences
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-# Fits many models; tests/test_classifiers.py runs it on fewer.
-SLOW = {"all_areas_lr", "word2vec_vectors"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +18,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, FOLDER).toPandas()
     assert len(got) > 0

@@ -96,4 +96,4 @@ def test_word_vectors(spark):
     found = {r.word: len(r.embedding) for r in fitted.collect()}
     assert found == {"red": 8, "green": 8, "blue": 8}
     with pytest.raises(ValueError, match="min_count"):
-        wordvectors.fit_word_vectors(df, 8, max_vocabulary=2)
+        wordvectors.fit_word_vectors(df, 8, max_weights=16)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paperlens.operators.frames import percent_ranked
+from paperlens.operators.frames import indexed, percent_ranked
 from paperlens.operators import (
     authors as au, bow, classifiers, coauthors, embeddings, journals, neighbors, onehot, originality,
     pagerank, papers as pp, percentiles, scope, tokens, trending, vocabulary, wordvectors,
 )
-from paperlens.session import checkpointed, ship
-from paperlens.sources.corpus import bind_references
+from paperlens.session import checkpointed, ensure_checkpoint_dir, ship
+from paperlens.sources.catalog import save
+from paperlens.sources.corpus import bind_hindex, bind_references
+from paperlens.sources.distributions import distribution_of, ordered_hindex_percentiles
 from workbench.tables import VECTOR_DIMENSION, WORD_DIMENSION, Tables
 
 Query = Callable[[Tables], DataFrame]
@@ -142,6 +145,13 @@ def references_dedupe(t: Tables) -> DataFrame:
     return bind_references(t.citations())
 
 
+@query
+def hindex_copies_dropped(t: Tables) -> DataFrame:
+    """h-indexes of lines, as a source that repeats its rows."""
+    rows = t.given("lineitem").select(F.col("l_suppkey").cast("string"), (F.col("l_partkey") % 50).cast("int"))
+    return bind_hindex(rows)
+
+
 # --- text
 
 def _exploded(tokenized: DataFrame) -> DataFrame:
@@ -216,10 +226,8 @@ def idf_weights(t: Tables) -> DataFrame:
 
 @query
 def tfidf_bow(t: Tables) -> DataFrame:
-    """Stored idf of the titles only, so that many terms take the weight of unknown ones."""
-    titles = checkpointed(_titles(t))
-    idf = vocabulary.idf_weights(vocabulary.doc_frequency(titles), titles)
-    return bow.tf_idf(_stored_abstracts(t), checkpointed(idf)).select("id", "term", F.round("weight", 9).alias("weight"))
+    abstracts = _stored_abstracts(t)
+    return bow.tf_idf(abstracts, _idf(t, abstracts)).select("id", "term", F.round("weight", 9).alias("weight"))
 
 
 @query
@@ -266,6 +274,7 @@ def submission_embedding(t: Tables) -> DataFrame:
 
 @query
 def word2vec_vectors(t: Tables) -> DataFrame:
+    """Which words get a vector, and its length; the values come from random starts."""
     model = wordvectors.fit_word_vectors(checkpointed(_abstracts(t)), VECTOR_DIMENSION)
     return wordvectors.word_vectors(model).select("word", F.size("embedding").alias("dimension"))
 
@@ -327,8 +336,7 @@ def journal_year_centroids(t: Tables) -> DataFrame:
 
 
 def _area_table(t: Tables) -> DataFrame:
-    """Areas of the journals except one, which has none then."""
-    return pp.journal_areas(t.papers()).where(F.col("issn") != "src3")
+    return pp.journal_areas(t.papers())
 
 
 @query
@@ -356,8 +364,9 @@ def area_index(t: Tables) -> DataFrame:
 
 @query
 def area_onehot(t: Tables) -> DataFrame:
-    rows = onehot.area_one_hot(t.papers(), t.vectors())
-    return rows.select("id", F.posexplode("ohe").alias("slot", "flag"), F.round(F.col("features")[0], 6).alias("first"))
+    """All slots as one text, all features as rows."""
+    rows = onehot.area_one_hot(t.papers(), t.vectors()).withColumn("flags", F.array_join("ohe", ""))
+    return long_form(rows, "id", "flags", vector="features")
 
 
 @query
@@ -413,6 +422,18 @@ def classifier_metrics(t: Tables) -> DataFrame:
     return rows.select(*[r6(c) if c in rates else c for c in rows.columns])
 
 
+@query
+def merged_evaluations(t: Tables) -> DataFrame:
+    """Sums of the evaluations of classifier_metrics over all sets."""
+    labels = t.given("labels").select(
+        (F.col("doc_id") % 4).alias("part"), (F.col("doc_id") % 2).alias("set"),
+        F.col("quality").cast("double").alias("label"), F.col("toxic").cast("double").alias("prediction"),
+    )
+    rows = classifiers.merge_evaluations(classifiers.evaluate(labels, "set", "part"), "set")
+    rates = ("accuracy", "prevalence", "recall", "specificity", "ppv", "npv")
+    return rows.select(*[r6(c) if c in rates else c for c in rows.columns])
+
+
 # --- authors
 
 def _hindex(t: Tables) -> DataFrame:
@@ -438,10 +459,10 @@ def hindex_percentile_by_journal(t: Tables) -> DataFrame:
 
 @query
 def academic_authority(t: Tables) -> DataFrame:
-    """h-indexes of customers with orders only: the others are unknown authors."""
-    known = au.latest_hindex(*t.hindex_snapshots()[1:])
+    """Suppliers ask for the authority of customers of their number, some of whom are unknown authors."""
+    known = _hindex(t)
     ptiles = au.hindex_percentiles(t.journal_authors(), known)
-    return au.academic_authority(t.journal_authors(), known, ptiles).select("issn", "auid", "hindex", r6("authority"))
+    return au.academic_authority(t.authority_requests(), known, ptiles).select("issn", "auid", "hindex", r6("authority"))
 
 
 @query
@@ -525,7 +546,33 @@ def coauthor_pagerank_repeated_fixed(t: Tables) -> DataFrame:
 
 @query
 def coauthor_pagerank_converged(t: Tables) -> DataFrame:
-    return pagerank.coauthor_pagerank(t.paper_authors(), ROOT_JOURNAL, distinct=False)
+    """Rounds until the ranks stand still; the given number of decimals is far above the tolerance."""
+    ranks = pagerank.coauthor_pagerank(t.paper_authors(), ROOT_JOURNAL, distinct=False, tolerance=1e-7)
+    return ranks.select("auid", F.round("pageRank", 4).alias("pageRank"))
+
+
+@query
+def ordered_hindex_distribution(t: Tables) -> DataFrame:
+    """Places in the order of the loader, which rows alone do not show."""
+    ptiles = au.hindex_percentiles(t.journal_authors(), _hindex(t))
+    return indexed(ordered_hindex_percentiles(ptiles), ["issn", "ptile"], "place").select(
+        "place", "issn", "hindex", r6("ptile"))
+
+
+@query
+def distribution_of_one_journal(t: Tables) -> DataFrame:
+    ptiles = au.hindex_percentiles(t.journal_authors(), _hindex(t))
+    return distribution_of(ptiles, "BUILDING", "hindex").select("value", r6("ptile"))
+
+
+@query
+def coauthors_written_by_journal(t: Tables) -> DataFrame:
+    """One folder per journal in a single write, read back."""
+    ensure_checkpoint_dir(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/coauthors-{uuid.uuid4().hex}"
+    pairs = coauthors.coauthors_by_journal(t.paper_authors(), ["J7", "J8"], _unambiguous(t), distinct=True)
+    save(pairs, folder, partition_by=("issn",))
+    return t.spark.read.parquet(folder).select("issn", "left", "right")
 
 
 # --- dimensions
@@ -533,10 +580,10 @@ def coauthor_pagerank_converged(t: Tables) -> DataFrame:
 @query
 def originality_pairs(t: Tables) -> DataFrame:
     pairs = originality.originality_pairs(t.dated_authors(), t.vectors())
-    return pairs.select(
-        "eid", "issn", "eid_asc", F.round(F.col("embedding")[0], 6).alias("first"),
-        F.round(F.col("embedding_asc")[0], 6).alias("first_asc"),
-    )
+    both = F.arrays_zip(F.col("embedding").alias("a"), F.col("embedding_asc").alias("b"))
+    elements = pairs.select("eid", "issn", "eid_asc", F.posexplode(both).alias("pos", "x"))
+    return elements.select(
+        "eid", "issn", "eid_asc", "pos", F.round("x.a", 6).alias("value"), F.round("x.b", 6).alias("value_asc"))
 
 
 @query
@@ -562,6 +609,12 @@ def trending_reference(t: Tables) -> DataFrame:
     return rows.select("eid", "issn", r6("d2_diff"), r6("ptile"))
 
 
+@query
+def trending_reference_of_one_journal(t: Tables) -> DataFrame:
+    rows = trending.trending_reference(t.papers(), t.vectors(), _year_centroids(t))
+    return distribution_of(rows, "src1", "d2_diff").select(r6("value"), r6("ptile"))
+
+
 @query
 def trending_scores(t: Tables) -> DataFrame:
     centroids = checkpointed(_year_centroids(t))

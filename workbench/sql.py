@@ -125,7 +125,6 @@ _PARTS: dict[str, tuple[str, str]] = {
         "abstract_tokens title_tokens"),
     "submission_tokens": (_tokenized("submissions", "query_id", "text"), "submissions"),
     "idf": (_idf("all_tokens", "all_tokens"), "all_tokens"),
-    "title_idf": (_idf("title_tokens", "title_tokens"), "title_tokens"),
     "bow": (_tfidf("abstract_tokens", "idf", _MAX_IDF.format("idf")), "abstract_tokens idf"),
     "submission_bow": (_tfidf("submission_tokens", "idf", "0"), "submission_tokens idf"),
     "word_vectors": (
@@ -162,16 +161,13 @@ _PARTS: dict[str, tuple[str, str]] = {
     "hindex": (
         "SELECT auid, hindex FROM (SELECT auid, hindex, rank() OVER (PARTITION BY auid ORDER BY src DESC, hindex DESC) AS rnk "
         "FROM snapshots) WHERE rnk = 1", "snapshots"),
-    "order_hindex": (
-        "SELECT auid, hindex FROM (SELECT auid, hindex, rank() OVER (PARTITION BY auid ORDER BY src DESC, hindex DESC) AS rnk "
-        "FROM snapshots WHERE src > 0) WHERE rnk = 1", "snapshots"),
+    "authority_requests": (
+        "SELECT c_mktsegment AS issn, CAST(o_custkey * (o_orderkey % 2 + 1) AS VARCHAR) AS auid "
+        "FROM orders JOIN customer ON c_custkey = o_custkey", ""),
     "journal_authors": ("SELECT c_mktsegment AS issn, CAST(c_custkey AS VARCHAR) AS auid FROM customer", ""),
     "ptiles": (
         "SELECT DISTINCT j.issn, h.hindex, percent_rank() OVER (PARTITION BY j.issn ORDER BY h.hindex) AS ptile "
         "FROM journal_authors j JOIN hindex h ON j.auid = h.auid", "journal_authors hindex"),
-    "order_ptiles": (
-        "SELECT DISTINCT j.issn, h.hindex, percent_rank() OVER (PARTITION BY j.issn ORDER BY h.hindex) AS ptile "
-        "FROM journal_authors j JOIN order_hindex h ON j.auid = h.auid", "journal_authors order_hindex"),
     "author_names": (
         "SELECT CAST(l_suppkey AS VARCHAR) AS auid, 'N' || (l_partkey % (1 + l_suppkey % 4)) AS indexed_name FROM lineitem", ""),
     "ambiguity": (
@@ -263,7 +259,7 @@ def _with(parts: str, select: str, extra: dict[str, tuple[str, str]] | None = No
     return f"WITH {recursive}{bodies} {select}"
 
 
-def _pagerank(links: str) -> str:
+def _pagerank(links: str, rounds: int = 20, digits: int = 6) -> str:
     extra = {
         "edges": (
             f"SELECT l.src, l.dst, l.w / o.w AS share FROM {links} l JOIN "
@@ -271,9 +267,9 @@ def _pagerank(links: str) -> str:
         "ranks": (
             "SELECT 0 AS round, auid, CAST(1 AS DOUBLE) AS rank FROM (SELECT DISTINCT src AS auid FROM edges) UNION ALL "
             "SELECT r.round + 1, e.dst, CAST(0.15 AS DOUBLE) + CAST(0.85 AS DOUBLE) * sum(r.rank * e.share) "
-            "FROM ranks r JOIN edges e ON e.src = r.auid WHERE r.round < 20 GROUP BY r.round + 1, e.dst", ""),
+            f"FROM ranks r JOIN edges e ON e.src = r.auid WHERE r.round < {rounds} GROUP BY r.round + 1, e.dst", ""),
     }
-    return _with(links, f"SELECT auid, {r6('rank', 'pageRank')} FROM ranks WHERE round = 20", extra)
+    return _with(links, f"SELECT auid, {r6('rank', 'pageRank', digits)} FROM ranks WHERE round = {rounds}", extra)
 
 
 def _scope(sent: tuple[str, str], vectors: str, select: str) -> str:
@@ -384,8 +380,9 @@ ORACLES: dict[str, str] = {
     "doc_frequency_of_papers": _with("all_tokens", _FREQ.format("count(DISTINCT id)")),
     "idf_weights_of_papers": _with("idf", f"SELECT token, {r6('weight', 'weight')} FROM idf"),
     "idf_weights": _with("idf", f"SELECT token, {r6('weight', 'weight')} FROM idf"),
-    "tfidf_bow": _with("title_idf abstract_tokens", _BOW.format("rows"), {
-        "rows": (_tfidf("abstract_tokens", "title_idf", _MAX_IDF.format("title_idf")), "")}),
+    "tfidf_bow": _with("bow", _BOW.format("bow")),
+    "word2vec_vectors": _with("abstract_tokens", (
+        f"SELECT term AS word, CAST({D} AS INTEGER) AS dimension FROM abstract_tokens GROUP BY term HAVING count(*) >= 5")),
     "tfidf_maps": _with("bow", _BOW.format("bow")),
     "submission_bow": _with("submission_bow", _BOW.format("submission_bow")),
     "paper_embedding_weighted_mean": _with("text_vectors", _long("text_vectors", "id", W)),
@@ -403,16 +400,18 @@ ORACLES: dict[str, str] = {
     "journal_year_centroids": _with("year_centroids", (
         "SELECT issn AS id, year, pos, value FROM (" + _long("year_centroids", "issn, year", D) + ")")),
     "journal_centroids_with_areas": _with("centroids journal_areas", (
-        f"SELECT c.issn AS id, CASE WHEN c.issn = 'src3' THEN '' ELSE array_to_string(a.areas, ',') END AS subjareas, pos, value "
+        f"SELECT c.issn AS id, array_to_string(a.areas, ',') AS subjareas, pos, value "
         f"FROM ({_long('centroids', 'issn', D)}) c JOIN journal_areas a ON a.issn = c.issn")),
     "journal_year_centroids_with_areas": _with("year_centroids journal_areas", (
-        f"SELECT c.issn AS id, year, CASE WHEN c.issn = 'src3' THEN '' ELSE array_to_string(a.areas, ',') END AS subjareas, pos, value "
+        f"SELECT c.issn AS id, year, array_to_string(a.areas, ',') AS subjareas, pos, value "
         f"FROM ({_long('year_centroids', 'issn, year', D)}) c JOIN journal_areas a ON a.issn = c.issn")),
     "area_index": _with("area_index", "SELECT area, areaIndex FROM area_index"),
     "area_onehot": _with("areas area_index vectors", (
-        "SELECT v.id, CAST(s.slot AS INTEGER) AS slot, CAST(max(CASE WHEN i.areaIndex = s.slot THEN 1 ELSE 0 END) AS INTEGER) AS flag, "
-        f"{r6('max(v.embedding[1])', 'first')} FROM vectors v JOIN areas a ON a.eid = v.id JOIN area_index i ON i.area = a.area, "
-        "(SELECT unnest(range(27)) AS slot) s GROUP BY v.id, s.slot")),
+        "SELECT l.id, f.flags, l.pos, l.value FROM (" + _long("vectors", "id", D) + ") l JOIN ("
+        "SELECT eid, string_agg(CAST(flag AS VARCHAR), '' ORDER BY slot) AS flags FROM ("
+        "SELECT a.eid, s.slot, max(CASE WHEN i.areaIndex = s.slot THEN 1 ELSE 0 END) AS flag FROM areas a "
+        "JOIN area_index i ON i.area = a.area, (SELECT unnest(range(27)) AS slot) s GROUP BY a.eid, s.slot) GROUP BY eid) f "
+        "ON f.eid = l.id")),
     "issn_freq_for_areas": _with("areas", f"SELECT issn, count(*) AS count FROM areas WHERE area IN {AREAS} GROUP BY issn"),
     "journal_index": _with("journal_index", "SELECT issn, index FROM journal_index"),
     "journal_onehot": _with("journal_index papers", (
@@ -429,11 +428,11 @@ ORACLES: dict[str, str] = {
     "journal_hindex_percent_rank": _with("journal_authors hindex", (
         f"SELECT issn, auid, hindex, {r6('p', 'ptile')} FROM (SELECT j.issn, j.auid, h.hindex, "
         "percent_rank() OVER (PARTITION BY j.issn ORDER BY h.hindex) AS p FROM journal_authors j JOIN hindex h ON j.auid = h.auid)")),
-    "academic_authority": _with("journal_authors order_hindex order_ptiles", (
+    "academic_authority": _with("authority_requests hindex ptiles", (
         f"SELECT issn, auid, hindex, {r6('p', 'authority')} FROM (SELECT j.issn, j.auid, h.hindex, CASE WHEN h.hindex IS NULL THEN NULL "
-        "WHEN NOT EXISTS (SELECT 1 FROM order_ptiles t WHERE t.issn = j.issn AND t.hindex >= h.hindex) THEN 1 "
-        "ELSE coalesce((SELECT max(t.ptile) FROM order_ptiles t WHERE t.issn = j.issn AND t.hindex < h.hindex), 0) END AS p "
-        "FROM journal_authors j LEFT JOIN order_hindex h ON h.auid = j.auid)")),
+        "WHEN NOT EXISTS (SELECT 1 FROM ptiles t WHERE t.issn = j.issn AND t.hindex >= h.hindex) THEN 1 "
+        "ELSE coalesce((SELECT max(t.ptile) FROM ptiles t WHERE t.issn = j.issn AND t.hindex < h.hindex), 0) END AS p "
+        "FROM authority_requests j LEFT JOIN hindex h ON h.auid = j.auid)")),
     "percentile_normalize": _with("ptiles", (
         f"SELECT c_custkey, issn, {r6('p', 'normalized')} FROM (SELECT c_custkey, c_mktsegment AS issn, "
         "CASE WHEN NOT EXISTS (SELECT 1 FROM ptiles t WHERE t.issn = c_mktsegment AND t.hindex >= c_acctbal / 100) THEN 1 "
@@ -465,9 +464,12 @@ ORACLES: dict[str, str] = {
         "JOIN (SELECT DISTINCT issn, auid FROM clear_authors) b ON a.auid = b.auid GROUP BY a.issn, b.issn")),
     "coauthor_pagerank_fixed": _pagerank("clear_links"),
     "coauthor_pagerank_repeated_fixed": _pagerank("links"),
+    # So many rounds that further ones change nothing in the given decimals.
+    "coauthor_pagerank_converged": _pagerank("links", rounds=150, digits=4),
     "originality_pairs": _with("earlier vectors", (
-        f"SELECT e.eid, e.issn, e.eid_asc, {r6('a.embedding[1]', 'first')}, {r6('b.embedding[1]', 'first_asc')} FROM earlier e "
-        "JOIN vectors a ON a.id = e.eid JOIN vectors b ON b.id = e.eid_asc")),
+        f"SELECT eid, issn, eid_asc, CAST(pos AS INTEGER) AS pos, {r6('x', 'value')}, {r6('y', 'value_asc')} FROM ("
+        f"SELECT e.eid, e.issn, e.eid_asc, unnest(range({D})) AS pos, unnest(a.embedding) AS x, unnest(b.embedding) AS y "
+        "FROM earlier e JOIN vectors a ON a.id = e.eid JOIN vectors b ON b.id = e.eid_asc)")),
     "originality_pairs_strict": _with("dated_authors vectors", (
         "SELECT DISTINCT a.eid, a.issn, b.eid AS eid_asc FROM dated_authors a JOIN dated_authors b ON a.auid = b.auid "
         "AND (a.year > b.year OR (a.year = b.year AND a.month > b.month)) WHERE a.eid IN (SELECT id FROM vectors) "
@@ -498,4 +500,18 @@ ORACLES: dict[str, str] = {
         "SELECT query_id AS eid, id, d2, rank FROM (" + _nearest("d2, id", 5) + ")"), _CONTRAST),
     "scope_match_for_texts": _scope(_SENT, "text_vectors", _VALUE),
 }
+_RATES = ORACLES["classifier_metrics"]
+ORACLES |= {
+    "merged_evaluations": _RATES.replace("doc_id % 4", "doc_id % 2"),
+    "hindex_copies_dropped": (
+        "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS auid, CAST(l_partkey % 50 AS INTEGER) AS hindex FROM lineitem"),
+    "ordered_hindex_distribution": _with("ptiles", (
+        "SELECT CAST(row_number() OVER (ORDER BY issn, ptile) - 1 AS INTEGER) AS place, issn, CAST(hindex AS DOUBLE) AS hindex, "
+        f"{r6('ptile', 'ptile')} FROM ptiles")),
+    "distribution_of_one_journal": _with("ptiles", (
+        f"SELECT CAST(hindex AS DOUBLE) AS value, {r6('ptile', 'ptile')} FROM ptiles WHERE issn = 'BUILDING'")),
+    "coauthors_written_by_journal": ORACLES["coauthors_by_journal"],
+    "trending_reference_of_one_journal": _with("trend", (
+        f"SELECT {r6('d2_diff', 'value')}, {r6('ptile', 'ptile')} FROM trend WHERE issn = 'src1'")),
+}
 ORACLES["originality_distances_by_author"] = ORACLES["originality_distances"]

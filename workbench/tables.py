@@ -134,6 +134,14 @@ class Tables:
             F.col("c_mktsegment").alias("issn"), F.col("c_custkey").cast("string").alias("auid")
         )
 
+    def authority_requests(self) -> DataFrame:
+        """(issn, auid): lines ask for authors up to twice the customers' numbers, so half are unknown."""
+        segments = self.given("customer").select(
+            F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("issn"))
+        orders = self.given("orders").select("o_custkey", F.col("o_orderkey") % 2 + 1).toDF("o_custkey", "times")
+        return orders.join(segments, "o_custkey").select(
+            "issn", (F.col("o_custkey") * F.col("times")).cast("string").alias("auid"))
+
     def citations(self) -> DataFrame:
         orders = self.given("orders").select(
             F.date_format("o_orderdate", "yyyyMMdd"),
