@@ -33,7 +33,7 @@ def _element_sums(
         means = exploded.groupBy(*keys, "_pos").agg(
             F.sum(F.col("_x") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n"), F.count("*").alias("_rows")
         )
-        packed = F.array_sort(F.collect_list(F.struct("_pos", (F.col("_s") / F.col("_n")).alias("_x"))))
+        packed = F.array_sort(F.collect_list(F.struct("_pos", F.try_divide("_s", "_n").alias("_x"))))
         packed = F.when(F.min("_rows") == F.max("_rows"), packed).otherwise(
             F.raise_error(F.lit("vectors differ in length")).cast("array<struct<_pos:int,_x:double>>"))
         return means.groupBy(*keys).agg(packed.alias("_packed"), F.max("_n").alias("_n")).where(F.col("_n") != 0).select(

@@ -89,3 +89,17 @@ def test_hash_share_is_stable_and_uniform(spark):
     low = df.where(frames.hash_share("id", 5) < 0.8)
     assert 15_600 < low.count() < 16_400
     assert low.exceptAll(df.repartition(13).where(frames.hash_share("id", 5) < 0.8)).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookups_of_hot_keys(spark, rows, plan, monkeypatch, how):
+    """A table too large to broadcast: the rows of the hot key stay where they are."""
+    table = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "key string, n long")
+    asked = spark.createDataFrame(
+        [("k1", i) for i in range(90)] + [(f"k{i}", i) for i in range(2, 9)] + [("none", 1), (None, 2)], "key string, v long")
+    wanted = rows(asked.join(table, "key", how))
+    assert rows(frames.lookup_join(asked, table, "key", how=how)) == wanted
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", 1_000)
+    split = frames.lookup_join(asked, table, "key", how=how, row_bytes=100)
+    assert rows(split) == wanted
+    assert "Union" in plan(split) and plan(split).count("BroadcastHashJoin") >= 3

@@ -104,3 +104,26 @@ def test_originality(spark, rows):
         originality.originality_distances(strict))
     halved = originality.originality_distances(pairs, lambda x, y: F.abs(x[0] - y[0]) / 2)
     assert ("3", "K", "1", 2.5) in rows(halved)
+
+
+def test_rounds_go_on_until_ranks_stand_still(spark, rows):
+    """The same rule, and so the same ranks, whether pairs or author lists carry the rounds."""
+    lists = spark.createDataFrame([(str(i), a) for i in range(12) for a in (f"n{i}", f"n{i + 1}")], "eid string, auid string")
+    pairs = coauthors.coauthor_pairs(lists.withColumn("issn", F.lit("J")), distinct=True)
+    for tolerance in (0.1, 1e-9):
+        by_edges = pagerank.pagerank_of_edges(pairs, tolerance=tolerance)
+        assert rows(by_edges) == rows(pagerank.pagerank_of_papers(lists, tolerance=tolerance))
+    assert rows(by_edges) == rows(pagerank.pagerank_of_edges(pairs, rounds=200))
+
+
+def test_rounds_shuffle_ranks_only(spark, plan, monkeypatch):
+    links = pagerank._placed(spark.createDataFrame([("a", "b"), ("b", "a")], "left string, right string"), "left")
+    ranks = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "left string, rank double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(links.join(ranks, "left"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        links.unpersist()
+    above = text.split("InMemoryTableScan")[0]
+    assert above.count("Exchange") == 0 and text.count("ENSURE_REQUIREMENTS") == 1

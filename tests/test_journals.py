@@ -101,3 +101,13 @@ def test_one_journal_against_others(spark):
     row = classifiers.one_journal_against_others(papers, vectors, ["X", "Y"], ["J", "K"]).first()
     assert row.fitcount == row.totalcount > 0
     assert (row.complement_fitcount, row.complement_totalcount) == (45, 45)
+
+
+@pytest.mark.parametrize("dimension", [2, None])
+@pytest.mark.parametrize("wrong", [[1.0, 2.0, 3.0], [1.0, None]])
+def test_centroids_of_unfit_vectors_are_an_error(spark, dimension, wrong):
+    from paperlens.operators.embeddings import centroids
+
+    df = spark.createDataFrame([("k", [1.0, 2.0]), ("k", wrong)], "key string, embedding array<double>")
+    with pytest.raises(Exception, match="vectors differ in length"):
+        centroids(df, "key", dimension=dimension).collect()

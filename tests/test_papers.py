@@ -127,3 +127,13 @@ def test_ambiguity(spark, rows):
     assert rows(ambiguity) == [("a", 0), ("b", 1), ("c", 2)]
     assert rows(au.unambiguous_authors(ambiguity)) == [("a",), ("b",)]
     assert rows(au.unambiguous_authors(ambiguity, 0)) == [("a",)]
+
+
+def test_newest_snapshot_counts_even_without_value(spark, rows):
+    old = spark.createDataFrame([("a", 9), ("b", 3), ("c", None)], "auid string, hindex long")
+    new = spark.createDataFrame([("a", None), ("b", 5), ("b", None), ("d", None), ("d", None)], "auid string, hindex long")
+    assert rows(au.latest_hindex(old, new)) == rows(spark.createDataFrame(
+        [("a", None), ("b", 5), ("c", None), ("d", None), ("d", None)], "auid string, hindex long"))
+    assert au.latest_hindex(old, new, distinct=True).count() == 4
+    huge = spark.createDataFrame([("a", 1 << 60), ("b", -(1 << 60))], "auid string, hindex long")
+    assert rows(au.latest_hindex(old, huge)) == [("a", 1 << 60), ("b", -(1 << 60)), ("c", None)]

@@ -58,7 +58,7 @@ def test_tf_idf(spark, tokenized, rows):
 @pytest.mark.parametrize("dimension, limit", [(None, 10**9), (2, 10**9), (None, 3000), (2, 350), (2, 0)])
 def test_weighted_means(spark, words, rows, dimension, limit, monkeypatch):
     """The small limits split even this vocabulary in frequent and rare terms."""
-    monkeypatch.setattr(embeddings, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", limit)
     weighted = spark.createDataFrame(
         [("1", "a", 1.0), ("1", "b", 3.0), ("1", "unknown", 9.0), ("2", "unknown", 1.0), ("3", "a", 0.0), ("4", "b", 2.0),
          ("5", "z", 1.0)],
@@ -97,3 +97,18 @@ def test_word_vectors(spark):
     assert found == {"red": 8, "green": 8, "blue": 8}
     with pytest.raises(ValueError, match="min_count"):
         wordvectors.fit_word_vectors(df, 8, max_weights=16)
+
+
+def test_tf_idf_shuffles_tokens_by_id_only(spark, tokenized, plan):
+    idf = spark.createDataFrame([("a", 0.5), ("b", 1.0)], "token string, weight double")
+    text = plan(bow.tf_idf(tokenized, idf, unknown_weight=0.0))
+    assert text.count("Exchange hashpartitioning(id") == 1 and "hashpartitioning(term" not in text
+
+
+def test_word_vectors_do_not_follow_the_cores(spark, tokenized, rows):
+    """Parts are a parameter; each is trained by itself and averaged, so values are equal but for rounding."""
+    one, other = (
+        dict(wordvectors.word_vectors(wordvectors.fit_word_vectors(df, 4, min_count=1)).collect())
+        for df in (tokenized.coalesce(1), tokenized.coalesce(1)))
+    assert wordvectors.PARTITIONS == 8 and set(one) == set(other) == {"a", "b", "d"}
+    assert all(a == pytest.approx(b, abs=1e-2) for w in one for a, b in zip(one[w], other[w], strict=True))
