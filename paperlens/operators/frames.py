@@ -27,9 +27,14 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it is counted to be small; else leave the join to Spark."""
-    return F.broadcast(df) if has_at_most(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int | None = None) -> DataFrame:
+    """Broadcast ``df`` if it is measured to have few rows and few bytes; else leave the join to Spark.
+
+    One job that stops once more than ``rows`` rows are met; bytes are those of the rows written out.
+    """
+    written = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    count, used = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(written), F.lit(0))).first()
+    return F.broadcast(df) if count <= rows and used <= (BROADCAST_BYTES if size is None else size) else df
 
 
 def lookup_join(

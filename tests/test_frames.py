@@ -103,3 +103,13 @@ def test_lookups_of_hot_keys(spark, rows, plan, monkeypatch, how):
     split = frames.lookup_join(asked, table, "key", how=how, row_bytes=100)
     assert rows(split) == wanted
     assert "Union" in plan(split) and plan(split).count("BroadcastHashJoin") >= 3
+
+
+def test_broadcasts_are_measured_in_rows_and_bytes(spark, plan):
+    df = spark.createDataFrame([(i, "x" * 1_000) for i in range(50)], "key long, text string")
+    other = spark.range(5).toDF("key")
+
+    def hinted(**limits):
+        return "hint" in other.join(frames.broadcast_if_small(df, **limits), "key")._jdf.queryExecution().analyzed().toString().lower()
+
+    assert hinted() and not hinted(rows=49) and not hinted(size=40_000)
