@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paperlens.functions.dates import YEAR_PATTERN, is_sort_date, month_of, year_of
 from paperlens.operators.frames import require_columns
 
+# Fields that a complete paper has, and source fields that are kept.
 CONTENT_COLUMNS = ("eid", "issn", "title", "abstr", "subjareas", "source")
 SOURCE_COLUMNS = ("publishername", "sourcetitle", "sourcetitle_abbrev")
 # Author fields of the wide author table, in output order.
@@ -111,7 +112,7 @@ def area_frequencies(papers: DataFrame) -> DataFrame:
     """Papers per area and their percentage of all papers, most frequent first."""
     return (
         explode_areas(papers).groupBy("area").agg(F.count("*").alias("freq"))
-        .select("area", "freq", _share_of(papers).alias("pct")).orderBy(F.desc("freq"))
+        .select("area", "freq", _share_of(papers).alias("pct")).orderBy(F.desc("freq"), "area")
     )
 
 
@@ -119,14 +120,14 @@ def journal_distribution(papers: DataFrame) -> DataFrame:
     return (
         papers.groupBy("sourcetitle").agg(F.count("*").alias("freq"))
         .select("sourcetitle", F.col("freq").alias("count"), _share_of(papers).alias("pct"))
-        .orderBy(F.desc("count"))
+        .orderBy(F.desc("count"), "sourcetitle")
     )
 
 
 def subject_area_histogram(papers: DataFrame) -> DataFrame:
     return (
         papers.select(F.explode("subjareas").alias("subjectarea"))
-        .groupBy("subjectarea").count().orderBy(F.desc("count"))
+        .groupBy("subjectarea").count().orderBy(F.desc("count"), "subjectarea")
     )
 
 

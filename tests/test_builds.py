@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from paperlens.operators import (
+    authors as au, bow, coauthors, embeddings, journals, onehot, papers as pp, tokens, trending, vocabulary,
+)
 from paperlens.plans.builds import AuthorBuild, CorpusBuild, EmbeddingBuild
 from paperlens.schemas import AFFILIATION, AUTHOR_AFFILIATION, PAPER_TERM, RAW_PAPER
 from paperlens.sources import catalog as cat, corpus, distributions
@@ -36,7 +39,7 @@ def test_schemas(raw):
     assert [kinds[c].elementType for c in ("af", "au_af", "terms")] == [AFFILIATION, AUTHOR_AFFILIATION, PAPER_TERM]
 
 
-def test_builds(spark, folder, raw, catalog):
+def test_builds(spark, folder, raw, catalog, rows):
     CorpusBuild(spark, catalog, raw, f"{folder}/authors").run()
     papers = catalog.read(spark, "papers")
     assert papers.count() == 167
@@ -60,6 +63,30 @@ def test_builds(spark, folder, raw, catalog):
     for name, columns in expected.items():
         df = catalog.read(spark, name)
         assert (name, df.columns) == (name, columns) and df.count() > 0
+    # Every stored dataset holds the rows of its operator.
+    stored = {name: catalog.read(spark, name) for name in expected}
+    abstracts, titles = (tokens.tokenize_per_sentence(papers, "eid", c) for c in ("abstr", "title"))
+    frequencies, doc_frequencies, idf = vocabulary.vocabulary(abstracts, titles)
+    weighted = bow.tf_idf(abstracts, idf)
+    vectors = embeddings.embed_bow(weighted, stored["word_vectors"], dimension=8)
+    by_journal, by_year = journals.journal_and_year_centroids(papers, vectors, dimension=8)
+    index = onehot.area_index(papers)
+    wanted = {
+        "abstracts_tokenized": abstracts, "titles_tokenized": titles, "token_frequencies": frequencies,
+        "token_doc_frequencies": doc_frequencies, "token_idf_weights": idf, "paper_vectors": vectors,
+        "journal_vectors": by_journal, "journal_year_vectors": by_year, "area_index": index,
+        "area_one_hot": onehot.area_one_hot(papers, vectors, index),
+        "trending_reference": trending.trending_reference(papers, vectors, by_year),
+    }
+    for name, df in wanted.items():
+        assert (name, rows(stored[name].select(df.columns), 4)) == (name, rows(df, 4))
+    assert rows(bow.from_maps(stored["tfidf_weights"])) == rows(weighted)
+    assert rows(papers.select("eid", "issn", "title", "year")) == rows(
+        pp.extract_content(raw).select("eid", "issn", "title", "year"))
+    assert rows(corpus.read_paper_authors(spark, f"{folder}/authors")) == rows(pp.paper_authors(raw))
+    assert rows(spark.read.parquet(f"{folder}/masked")) == rows(tokens.tokenize_abstracts(papers))
+    often = frequencies.where("freq >= 2").join(abstracts.select(F.explode("terms").alias("token")).groupBy("token").count(), "token")
+    assert {r.word for r in stored["word_vectors"].collect()} == {r.token for r in often.where("count >= 2").collect()}
     assert catalog.read(spark, "paper_vectors").select(F.max(F.size("embedding"))).first()[0] == 8
     assert catalog.read(spark, "area_one_hot").select(F.max(F.size("ohe"))).first()[0] == 27
 
@@ -68,9 +95,9 @@ def test_builds(spark, folder, raw, catalog):
     assert [r.ptile for r in one] == sorted(r.ptile for r in one)
 
 
-def test_author_builds(spark, folder, raw, catalog):
-    for name, rows in {"h1": [("a1", 3), ("a2", 5)], "h2": [("a1", 4), ("b3", 9)]}.items():
-        spark.createDataFrame(rows, "id string, h long").write.parquet(f"{folder}/{name}")
+def test_author_builds(spark, folder, raw, catalog, rows):
+    for name, given in {"h1": [("a1", 3), ("a2", 5)], "h2": [("a1", 4), ("b3", 9)]}.items():
+        spark.createDataFrame(given, "id string, h long").write.parquet(f"{folder}/{name}")
     build = AuthorBuild(spark, catalog, raw)
     build.hindex(f"{folder}/h1", f"{folder}/h2")
     build.hindex_percentiles()
@@ -84,9 +111,18 @@ def test_author_builds(spark, folder, raw, catalog):
     assert loaded.schema["hindex"].dataType.simpleString() == "double" and loaded.count() > 0
     issn = loaded.first().issn
     assert distributions.hindex_percentiles_of(spark, catalog, issn).columns == ["value", "ptile"]
-    assert catalog.read(spark, "author_ambiguity").columns == ["auid", "ambiguity"]
-    assert catalog.read(spark, "coauthors_with_papers").columns == ["eid", "issn", "left", "right"]
-    assert spark.read.parquet(f"{folder}/pairs").count() > 0
+    authors, stored = pp.paper_authors(raw), catalog.read(spark, "author_ambiguity")
+    names = au.author_ambiguity(pp.author_columns(raw))
+    clear = au.unambiguous_authors(names, 10)
+    assert rows(stored.select(names.columns)) == rows(names)
+    with_papers = coauthors.coauthors_with_papers(authors, clear)
+    assert rows(catalog.read(spark, "coauthors_with_papers").select(with_papers.columns)) == rows(with_papers)
+    pairs = coauthors.coauthor_pairs(authors, clear, distinct=True)
+    assert rows(spark.read.parquet(f"{folder}/pairs").select("left", "right")) == rows(pairs) != []
+    of_journals = coauthors.coauthors_by_journal(authors, ["src1", "src2"], clear, distinct=True)
+    assert rows(spark.read.parquet(f"{folder}/by_journal").select("issn", "left", "right")) == rows(of_journals)
+    ptiles = au.hindex_percentiles(pp.issn_author_pairs(raw), catalog.read(spark, "hindex"))
+    assert rows(loaded) == rows(ptiles.withColumn("hindex", F.col("hindex").cast("double")))
     journals = {r.issn for r in spark.read.parquet(f"{folder}/by_journal").select("issn").distinct().collect()}
     assert journals == {"src1", "src2"}
 

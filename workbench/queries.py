@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from paperlens.functions.vectors import add, divide, scale
 from paperlens.operators.frames import indexed, percent_ranked
 from paperlens.operators import (
     authors as au, bow, classifiers, coauthors, embeddings, journals, neighbors, onehot, originality,
@@ -293,6 +294,13 @@ def _journal_queries(t: Tables) -> DataFrame:
     return _centroids(t).withColumnRenamed("id", "query_id")
 
 
+@query
+def vector_arithmetic(t: Tables) -> DataFrame:
+    """Three times a vector and itself, divided by eight."""
+    v = F.col("embedding")
+    return long_form(t.vectors().select("id", divide(add(scale(v, F.lit(3)), v), F.lit(8)).alias("embedding")), "id")
+
+
 @query
 def l2_all_pairs_to_queries(t: Tables) -> DataFrame:
     return neighbors.l2_distances(_journal_queries(t), t.vectors()).select("query_id", "id", r6("d2"))

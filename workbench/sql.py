@@ -10,6 +10,7 @@ JOURNALS = "('src1', 'src6', 'src11')"
 
 _YEAR = "CAST(2015 + (doc_id // 20) % 5 AS INTEGER)"
 _MONTH = "CAST(1 + doc_id % 12 AS INTEGER)"
+# Fixed value: the form of a sort date.
 _DATE_PATTERN = "^201[5-9](0[1-9]|1[012])(0[1-9]|[12][0-9]|3[01])$"
 
 
@@ -502,6 +503,9 @@ ORACLES: dict[str, str] = {
 }
 _RATES = ORACLES["classifier_metrics"]
 ORACLES |= {
+    "vector_arithmetic": _with("vectors", (
+        "SELECT id, pos, value FROM (" + _long(
+            "(SELECT id, list_transform(embedding, lambda x: (x * 3 + x) / 8) AS embedding FROM vectors)", "id", D) + ")")),
     "merged_evaluations": _RATES.replace("doc_id % 4", "doc_id % 2"),
     "hindex_copies_dropped": (
         "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS auid, CAST(l_partkey % 50 AS INTEGER) AS hindex FROM lineitem"),
