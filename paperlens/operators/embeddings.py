@@ -23,13 +23,12 @@ def _element_sums(
     ``total`` names a column for the sum of weights.
 
     With a known dimension every element is a column of one hash aggregate, so tasks
-    combine their rows before the shuffle; otherwise elements are exploded first. A vector of
-    another length, or with a null element, is an error.
+    combine their rows before the shuffle; otherwise elements are exploded first. Vectors come
+    from ``_checked``.
     """
     kept = [F.col("_n").alias(total)] if total else []
-    checked = _checked(F.col(vector), dimension)
     if dimension is None:
-        exploded = df.select(*keys, weight.alias("_w"), F.posexplode(checked).alias("_pos", "_x"))
+        exploded = df.select(*keys, weight.alias("_w"), F.posexplode(vector).alias("_pos", "_x"))
         means = exploded.groupBy(*keys, "_pos").agg(
             F.sum(F.col("_x") * F.col("_w")).alias("_s"), F.sum("_w").alias("_n"), F.count("*").alias("_rows")
         )
@@ -39,7 +38,7 @@ def _element_sums(
         return means.groupBy(*keys).agg(packed.alias("_packed"), F.max("_n").alias("_n")).where(F.col("_n") != 0).select(
             *keys, F.transform("_packed", lambda e: e["_x"]).alias("embedding"), *kept
         )
-    weighted = df.select(*keys, weight.alias("_w"), checked.alias("_v"))
+    weighted = df.select(*keys, weight.alias("_w"), F.col(vector).alias("_v"))
     sums = [F.sum(F.col("_v")[i] * F.col("_w")).alias(f"_s{i}") for i in range(dimension)]
     summed = weighted.groupBy(*keys).agg(F.sum("_w").alias("_n"), *sums)
     return summed.where(F.col("_n") != 0).select(
@@ -48,8 +47,8 @@ def _element_sums(
 
 
 def _checked(vector: Column, dimension: int | None) -> Column:
-    """``vector`` if it has the given length and no null element."""
-    whole = F.array_position(F.transform(vector, lambda x: x.isNull()), F.lit(True)) == 0
+    """``vector`` as doubles; one of another length than the given one, or with a null element, is an error."""
+    whole = ~F.exists(vector, lambda x: x.isNull())
     fits = whole if dimension is None else (F.size(vector) == dimension) & whole
     wrong = F.raise_error(F.lit("vectors differ in length or have null elements")).cast("array<double>")
     return F.when(vector.isNull() | fits, vector.cast("array<double>")).otherwise(wrong)
@@ -61,7 +60,14 @@ def centroids(
 ) -> DataFrame:
     """Element-wise mean of the vectors of each key, by ``weight`` if given; ``total`` adds its sum, or the count."""
     share = F.lit(1.0) if weight is None else F.col(weight)
-    return _element_sums(df.where(F.col(vector).isNotNull()), keys, vector, share, dimension, total)
+    rows = df.where(F.col(vector).isNotNull()).withColumn(vector, _checked(F.col(vector), dimension))
+    return _element_sums(rows, keys, vector, share, dimension, total)
+
+
+def _vocabulary(word_vectors: DataFrame, dimension: int | None) -> DataFrame:
+    """(term, _vector), checked once per word and not at every token."""
+    return word_vectors.select(
+        F.col("word").alias("term"), _checked(F.col("embedding"), dimension).alias("_vector"))
 
 
 def _known_terms(rows: DataFrame, words: DataFrame, dimension: int | None) -> DataFrame:
@@ -83,7 +89,7 @@ def embed_bow(bow: DataFrame, word_vectors: DataFrame, *, dimension: int | None
     known term, or with total weight 0, is left out. Best fed from stored maps, where the
     terms of an id lie together.
     """
-    words = word_vectors.select(F.col("word").alias("term"), F.col("embedding").alias("_vector"))
+    words = _vocabulary(word_vectors, dimension)
     return _element_sums(_known_terms(bow, words, dimension), ["id"], "_vector", F.col("weight"), dimension)
 
 
@@ -98,7 +104,7 @@ def embed_tokens(
     """
     weights = idf.select(F.col("token").alias("term"), F.col("weight").alias("_idf"))
     words = (
-        word_vectors.select(F.col("word").alias("term"), F.col("embedding").alias("_vector"))
+        _vocabulary(word_vectors, dimension)
         .join(weights, "term", "left")
         .select("term", "_vector", F.coalesce("_idf", unknown_term_weight(idf, unknown_weight)).alias("weight"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from paperlens.functions.text import NUMERIC_MASKS, SENTENCE_END, TOKEN
 
-D, W = 64, 4
+D, W = 64, 100
 AREAS = "('A1', 'de')"
 JOURNALS = "('src1', 'src6', 'src11')"
 
@@ -129,9 +129,10 @@ _PARTS: dict[str, tuple[str, str]] = {
     "bow": (_tfidf("abstract_tokens", "idf", _MAX_IDF.format("idf")), "abstract_tokens idf"),
     "submission_bow": (_tfidf("submission_tokens", "idf", "0"), "submission_tokens idf"),
     "word_vectors": (
-        "SELECT term AS word, [CAST(length(term) AS DOUBLE), ascii(term) % 7, ascii(reverse(term)) % 11, 1] AS embedding "
+        "SELECT term AS word, list_transform(range(100), lambda i: CAST((length(term) * (i + 1) + ascii(term) * (i % 7) "
+        "+ ascii(reverse(term)) * (i % 3)) % 17 AS DOUBLE)) AS embedding "
         f"FROM (SELECT DISTINCT unnest(regexp_extract_all(text, {_quoted(TOKEN)})) AS term FROM documents) "
-        "WHERE length(term) >= 4", ""),
+        "WHERE length(term) > 1", ""),
     "text_vectors": (_embedded("bow"), "bow word_vectors"),
     "submission_vectors": (_embedded("submission_bow"), "submission_bow word_vectors"),
     "vectors": ("SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings", ""),

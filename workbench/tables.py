@@ -11,7 +11,7 @@ from paperlens.operators.frames import computed_once
 from paperlens.schemas import AUTHOR, PAPER_SOURCE
 
 VECTOR_DIMENSION = 64
-WORD_DIMENSION = 4
+WORD_DIMENSION = 100
 
 
 @dataclass(frozen=True)
@@ -88,15 +88,17 @@ class Tables:
         )
 
     def word_vectors(self) -> DataFrame:
-        """Tokens of four letters or more have a vector; shorter ones are unknown words."""
+        """All tokens but those of one character have a vector; the latter are the unknown words."""
         word = F.col("word")
         words = (
             self.documents().select(computed_once(F.array_distinct(tokens(F.col("text")))).alias("words"))
             .select(F.explode("words").alias("word"))
-            .where(F.length("word") >= 4).distinct()
+            .where(F.length("word") > 1).distinct()
         )
-        vector = F.array(
-            F.length(word), F.ascii(word) % 7, F.ascii(F.reverse(word)) % 11, F.lit(1)
+        first, last = F.ascii(word), F.ascii(F.reverse(word))
+        vector = F.transform(
+            F.sequence(F.lit(0), F.lit(WORD_DIMENSION - 1)),
+            lambda i: (F.length(word) * (i + 1) + first * (i % 7) + last * (i % 3)) % 17,
         )
         return words.select("word", vector.cast("array<double>").alias("embedding"))
 
