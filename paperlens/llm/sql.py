@@ -14,3 +14,51 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(payload) AS
        CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
 FROM firsts
 """
+
+
+def _licenses() -> str:
+    """All windows against all templates by containment, without MinHash."""
+    from paperlens.llm.licenses import TEMPLATES
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    rows = ", ".join(f"({at}, {quoted(name)}, {quoted(text)})" for at, (name, text) in enumerate(TEMPLATES))
+    words = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+    shingles = (
+        "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) "
+        "WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    )
+    return f"""
+WITH templates AS (
+    SELECT number, name, list_distinct({shingles}) AS wanted FROM (
+        SELECT number, name, {words.format('wording')} AS w FROM (VALUES {rows}) AS t(number, name, wording))
+), texts AS (
+    SELECT doc_id, {shingles} AS own FROM (SELECT doc_id, {words.format('text')} AS w FROM documents)
+), windows AS (
+    SELECT doc_id, name, wanted, own, unnest(range(0, len(own), len(wanted))) AS first
+    FROM texts JOIN templates ON list_has_any(own, wanted)
+), parts AS (
+    SELECT doc_id, name, wanted, first, own[first + 1:first + 2 * len(wanted)] AS part FROM windows
+), places AS (
+    SELECT doc_id, name, first, list_filter(
+        list_transform(range(len(part)), lambda i: CASE WHEN list_contains(wanted, part[i + 1]) THEN i END),
+        lambda i: i IS NOT NULL) AS hits
+    FROM parts WHERE len(list_intersect(list_distinct(part), wanted)) >= 0.8 * len(wanted)
+), spans AS (
+    SELECT DISTINCT doc_id, name, first + list_min(hits) AS low, first + list_max(hits) + 5 AS high FROM places
+), widest AS (
+    SELECT * FROM spans a WHERE NOT EXISTS (
+        SELECT 1 FROM spans b WHERE b.doc_id = a.doc_id AND b.name = a.name AND b.low <= a.low AND b.high >= a.high
+        AND b.high - b.low > a.high - a.low)
+), found AS (
+    SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names,
+           array_to_string(list_sort(list(name || ':' || low || ':' || high)), ',') AS spots
+    FROM widest GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(names, '') AS licenses, coalesce(spots, '') AS places
+FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
+ORACLES["op7_licenses"] = _licenses()
