@@ -62,3 +62,40 @@ FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
 
 
 ORACLES["op7_licenses"] = _licenses()
+
+# Windows met by a join of strings; runs of windows in a row of one item give the longest match.
+ORACLES["op4_decontaminate"] = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+    SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (
+    SELECT item, w, least(10, len(w)) AS size FROM items WHERE len(w) > 0
+), item_windows AS (
+    SELECT item, size, place, array_to_string(w[place + 1:place + size], ' ') AS words
+    FROM (SELECT item, w, size, unnest(range(len(w) - size + 1)) AS place FROM sized)
+), text_windows AS (
+    SELECT doc_id, size, place, array_to_string(w[place + 1:place + size], ' ') AS words
+    FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS place
+          FROM texts JOIN (SELECT DISTINCT size FROM sized) ON len(w) >= size)
+), met AS (
+    SELECT t.doc_id, i.item, t.size, t.place, t.place - i.place AS line
+    FROM text_windows t JOIN item_windows i ON i.words = t.words AND i.size = t.size
+), runs AS (
+    SELECT doc_id, max(n + size - 1) AS longest FROM (
+        SELECT doc_id, item, line, size, count(*) AS n FROM (
+            SELECT *, place - row_number() OVER (PARTITION BY doc_id, item, line ORDER BY place) AS run FROM met)
+        GROUP BY doc_id, item, line, size, run) GROUP BY doc_id
+), hits AS (
+    SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, place + unnest(range(size)) AS word FROM met) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM met GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, h.n IS NOT NULL AS contaminated, CAST(coalesce(longest, 0) AS INTEGER) AS longest_match
+FROM texts t LEFT JOIN hits h ON h.doc_id = t.doc_id LEFT JOIN named n ON n.doc_id = t.doc_id LEFT JOIN runs r ON r.doc_id = t.doc_id
+"""
