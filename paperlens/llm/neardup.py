@@ -409,7 +409,16 @@ def _links(docs: DataFrame, text: str, families: DataFrame, weights: Weights) ->
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, text_key, class_id) for every row of ``docs``.
+    """(``key``, text_key, class_id) for every row of ``docs``; see ``_classes``.
+
+    class_id names a class as well as the keys do: where keys are null or repeat, different classes can
+    have one class_id.
+    """
+    return _classes(docs, key, text).select(F.col("_id").alias(key), "text_key", "class_id")
+
+
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, text_key, root, words, class_id) for every row of ``docs``; root tells classes of texts with words apart.
 
     Two texts are linked if their weighted Jaccard similarity over TF-IDF shingles is 0.8 or more, and a
     class is all that links connect; class_id is its smallest ``key``. Rows of equal text share a class. Texts without
@@ -457,7 +466,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .where("_n > 1").drop("_n")
     )
     return named.join(broadcast_if_small(several), "root", "left").select(
-        F.col("_id").alias(key), F.col("key").alias("text_key"),
+        "_id", F.col("key").alias("text_key"), "root", F.col("_words").alias("words"),
         F.when(F.col("_words"), F.coalesce("class_id", "_id")).otherwise(F.col("_id")).alias("class_id"),
     )
 
@@ -467,13 +476,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Rows of a class that agree in key and text are one document. Texts without words all stay.
     """
-    rows = near_classes(docs, key, text).withColumnRenamed(key, "_id")
-    empty = F.col("text_key") == F.unhex(F.md5(F.lit("").cast("binary")))
+    rows = _classes(docs, key, text).where("words")
     rank = F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.col("text_key").alias("text_key"))
-    rows = checkpointed(rows.where(~empty).groupBy("_id", "text_key", "class_id").agg(F.count("*").alias("_n")))
-    first = rows.groupBy("class_id").agg(F.min(rank).alias("first"), F.count("*").alias("_m")).where("_m > 1")
-    first = first.select(F.col("class_id").alias("_class"), "first")
-    chosen = rows.join(broadcast_if_small(first), F.col("class_id").eqNullSafe(F.col("_class")))
+    rows = checkpointed(rows.groupBy("_id", "text_key", "root").agg(F.count("*").alias("_n")))
+    first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("_m")).where("_m > 1")
+    chosen = rows.join(broadcast_if_small(first.select("root", "first")), "root")
     losers = chosen.where((~F.col("_id").eqNullSafe(F.col("first.id"))) | (F.col("text_key") != F.col("first.text_key")))
     names = docs.columns
     own = docs.withColumn("_text_key", text_key(F.col(f"`{text}`"))).withColumn("_key", F.col(f"`{key}`"))

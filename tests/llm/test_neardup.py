@@ -106,3 +106,17 @@ def test_edges(edges, none):
 def test_equal_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x y")], "doc_id long, text string")
     assert sorted(neardup.one_of_each(docs).collect(), key=str) == sorted([(1, "a b c d e f"), (None, "x y")], key=str)
+
+
+def test_null_and_repeated_ids_join_no_classes(spark):
+    def text(n):
+        return " ".join(f"w{n}x{i}" for i in range(40))
+
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (6, text(5)), (7, text(5) + " end"),
+            (6, text(6)), (None, text(7)), (None, text(7) + " end"), (None, " "), (None, " "), (8, "\t"), (9, "\t")]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost = {(7, text(5) + " end")}
+    near = {rows[8], rows[9]}
+    found = [tuple(r) for r in kept]
+    assert len(near & set(found)) == 1
+    assert sorted((r for r in found if r not in near), key=str) == sorted((r for r in rows if r not in lost | near), key=str)
