@@ -4,8 +4,11 @@ A document's shares of character classes and of common words are compared with r
 its table's languages by Jensen-Shannon distance (square root of the divergence in bits). The
 references are computed from all documents: per language the median share of each class over
 distinct documents, and the shares of its common words over documents that pass the class rule.
-A language serves as reference if it has enough documents; without any, all documents together
-are the reference. Distances have minimum lengths, as shares of few words or characters are noise.
+Every language with enough documents has a reference. Those of languages with a share of all documents hold
+for the documents of every such language, those of rarer ones only for their own. Of a document whose language has no
+reference only the shares of letters of whatever script, punctuation, symbols and other characters are compared. Without any language that is frequent, all documents together stand for one, and without any
+other reference they are that of every document. Distances have minimum lengths, as shares of few words or characters
+are noise.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from paperlens.llm.arrow import map_texts, steps
+from paperlens.session import checkpointed
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -27,7 +31,7 @@ CLASS_CHARACTERS, CLASS_DISTANCE = 200, 0.145
 WORD_WORDS, WORD_DISTANCE = 300, 0.35
 # A common word makes up this share of its language; so there are at most 500.
 COMMON_SHARE = 0.002
-# A language is a reference with this many documents and this share of them; so there are at most 1000.
+# A language has a reference with this many documents; with this share of them it is frequent, so at most 1000 are.
 LANGUAGE_DOCUMENTS, LANGUAGE_SHARE = 20, 0.001
 # Different words that a task counts before it passes its sums on.
 HELD_WORDS = 400_000
@@ -67,23 +71,49 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (to_middle(p) + to_middle(q)) / 2))
 
 
+def any_script(counts: np.ndarray) -> np.ndarray:
+    """Counts or shares of classes along the last axis, without spaces and with all letters as one class."""
+    own = dict(zip(CLASSES, np.moveaxis(np.asarray(counts, float), -1, 0), strict=True))
+    letters = own["plain"] + own["upper"] + own["foreign"]
+    merged = np.stack([letters, own["punctuation"], own["symbol"], own["other"]], -1)
+    return merged / np.maximum(merged.sum(-1, keepdims=True), 1e-12)
+
+
 @dataclass
 class References:
-    """Class shares by language (one row each) and shares of common words, the rest last."""
+    """Class shares by language (one row each) and shares of common words, the rest last; frequent languages first."""
 
     languages: list[str]
     classes: np.ndarray
     words: list[tuple[list[bytes], np.ndarray]]
-
-    def class_distance(self, counts: np.ndarray) -> float:
-        total = counts.sum()
-        if total < CLASS_CHARACTERS or not len(self.classes):
+    frequent: int
+    # The only reference is that of all documents.
+    together: bool = False
+
+    def __post_init__(self) -> None:
+        self.place = {name: at for at, name in enumerate(self.languages)}
+
+    def compared(self, language: str | None) -> list[int]:
+        """Places of the references for documents of a language (None: the frequent ones)."""
+        at = 0 if self.together or language is None else self.place.get(language)
+        if at is None:
+            return []
+        return [*range(self.frequent), *([at] if at >= self.frequent else [])]
+
+    def class_distance(self, counts: np.ndarray, language: str | None = None) -> float:
+        if counts.sum() < CLASS_CHARACTERS or not len(self.classes):
             return 0.0
-        return float(js_distance(np.broadcast_to(counts / total, self.classes.shape), self.classes).min())
+        places = self.compared(language)
+        classes = self.classes[places] if places else any_script(self.classes[:self.frequent])
+        counts = counts if places else any_script(counts)
+        if not counts.sum():
+            return 0.0
+        return float(js_distance(np.broadcast_to(counts / counts.sum(), classes.shape), classes).min())
 
     def word_distance(self, words: list[bytes], language: str) -> float:
-        """To the own language if that is near enough, else to the nearest of all."""
-        if len(words) < WORD_WORDS or not self.words:
+        """To the own language if that is near enough, else to the nearest of those compared."""
+        places = self.compared(language)
+        if len(words) < WORD_WORDS or not self.words or not places:
             return 0.0
         counts = Counter(words)
 
@@ -93,14 +123,14 @@ class References:
             seen[-1] = len(words) - seen.sum()
             return float(js_distance(seen / len(words), shares))
 
-        if language in self.languages:
-            own = distance(self.languages.index(language))
+        if language in self.place:
+            own = distance(self.place[language])
             if own <= WORD_DISTANCE:
                 return own
-        return min(distance(at) for at in range(len(self.words)))
+        return min(map(distance, places))
 
 
-def _class_references(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]:
+def _class_references(docs: DataFrame, text: str, lang: str) -> References:
     names = [f"_{c}" for c in CLASSES]
 
     def work(texts: list[str]) -> list[list]:
@@ -115,77 +145,93 @@ def _class_references(docs: DataFrame, text: str, lang: str) -> tuple[list[str],
     total = sum(F.col(n) for n in names)
     shares = counted.where(total > 0).distinct().select("_lang", *[(F.col(n) / total).alias(n) for n in names])
     medians = [F.percentile_approx(n, 0.5, F.lit(1000)).alias(n) for n in names]
-    # One row per language and one for all; few, as a language needs its share of all documents.
+    # One row per language with enough documents, however rare, and one for all.
     rows = shares.rollup("_lang").agg(F.count("*").alias("_rows"), F.grouping("_lang").alias("_all"), *medians)
-    every = rows.where("_all = 1").first()
+    found = rows.where((F.col("_all") == 1) | (F.col("_rows") >= LANGUAGE_DOCUMENTS)).orderBy("_lang").collect()
+    every = next((row for row in found if row["_all"] == 1), None)
     if every is None or every["_rows"] == 0:
-        return [], np.zeros((0, len(CLASSES)))
-    least = max(LANGUAGE_DOCUMENTS, LANGUAGE_SHARE * every["_rows"])
-    found = rows.where((F.col("_all") == 0) & (F.col("_rows") >= least)).orderBy("_lang").collect() or [every]
+        return References([], np.zeros((0, len(CLASSES))), [], 0)
+    own = [row for row in found if row["_all"] == 0]
+    frequent = [row for row in own if row["_rows"] >= LANGUAGE_SHARE * every["_rows"]]
+    rare = [row for row in own if row["_rows"] < LANGUAGE_SHARE * every["_rows"]]
+    found = [*(frequent or [every]), *rare]
     medians = np.array([[row[n] for n in names] for row in found], float)
-    return [row["_lang"] or "" for row in found], medians / medians.sum(1, keepdims=True)
+    names = [None if row is every else row["_lang"] for row in found]
+    return References(names, medians / medians.sum(1, keepdims=True), [], len(frequent) or 1, not own)
 
 
 def _word_counts(docs: DataFrame, text: str, lang: str, references: References,
                  wanted: set[bytes] | None) -> DataFrame:
-    """(language, word, n) of parts of tasks: words common there, or the ``wanted`` ones; null word: all words."""
-    single = len(references.languages) == 1
+    """(at, word, n) of parts of tasks, by place of the language's reference; null word: all words.
+
+    The words are those common there (of rare languages all), or the ``wanted`` ones of frequent languages.
+    """
+    all_at = 0 if references.languages[0] is None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        counts: dict[str, Counter] = {name: Counter() for name in references.languages}
+        counts: dict[int, Counter] = {}
 
         def flushed() -> pa.RecordBatch:
-            rows = [(name, word, n) for name, own in counts.items() for word, n in own.items()
-                    if word is None or wanted is not None or n >= COMMON_SHARE * own[None]]
-            for own in counts.values():
-                own.clear()
+            rows = [(at, word, n) for at, own in counts.items() for word, n in own.items()
+                    if word is None or wanted is not None or at >= references.frequent or n >= COMMON_SHARE * own[None]]
+            counts.clear()
             return pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()),
-                pa.array([r[2] for r in rows], pa.int64())], ["language", "word", "n"])
+                pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
+                pa.array([r[2] for r in rows], pa.int64())], ["at", "word", "n"])
 
         for batch in steps(batches, text):
             for value, name in zip(batch.column(text).to_pylist(), batch.column(lang).to_pylist(), strict=True):
-                name = references.languages[0] if single else name or ""
-                if not value or name not in counts:
+                name = name or ""
+                places = {at for at in (all_at, references.place.get(name)) if at is not None}
+                if wanted is not None:
+                    places = {at for at in places if at < references.frequent}
+                if not value or not places:
                     continue
                 data = value.encode()
                 words = data.lower().split()
-                if len(words) < MIN_WORDS or references.class_distance(class_counts(data)) > CLASS_DISTANCE:
+                if len(words) < MIN_WORDS or references.class_distance(class_counts(data), name) > CLASS_DISTANCE:
                     continue
-                own = counts[name]
-                own[None] += len(words)
-                own.update(words if wanted is None else filter(wanted.__contains__, words))
+                for at in places:
+                    own = counts.setdefault(at, Counter())
+                    own[None] += len(words)
+                    own.update(words if wanted is None else filter(wanted.__contains__, words))
             if sum(map(len, counts.values())) > HELD_WORDS:
                 yield flushed()
         yield flushed()
 
-    return docs.select(text, lang).mapInArrow(run, "language string, word binary, n long")
+    return docs.select(text, lang).mapInArrow(run, "at int, word binary, n long")
 
 
 def references_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
     """References of all documents of a table, from three passes that send only small sums.
 
     A word that is common in a language is common in at least one part of it, so the words
-    that are common in some part are candidates and are then counted everywhere.
+    that are common in some part are candidates and are then counted everywhere. A rare language may have
+    few documents in a part, where every word is common, so all its words are added up by a shuffle.
     """
     docs = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    languages, classes = _class_references(docs, "text", "lang")
-    references = References(languages, classes, [])
+    references = _class_references(docs, "text", "lang")
+    languages, frequent = references.languages, references.frequent
     if not languages:
         return references
-    candidates = _word_counts(docs, "text", "lang", references, None).where("word is not null")
+    first = _word_counts(docs, "text", "lang", references, None)
+    first = checkpointed(first) if len(languages) > frequent else first
+    candidates = first.where((F.col("at") < frequent) & F.col("word").isNotNull())
     wanted = {bytes(row[0]) for row in candidates.select("word").distinct().collect()}
-    counted = _word_counts(docs, "text", "lang", references, wanted).groupBy("language", "word").agg(
-        F.sum("n").alias("n"))
-    found: dict[str, dict] = {name: {} for name in languages}
-    for row in counted.collect():
-        found[row["language"]][None if row["word"] is None else bytes(row["word"])] = row["n"]
-    for name in languages:
-        total = found[name].pop(None, 0)
-        common = sorted(w for w, n in found[name].items() if n >= COMMON_SHARE * total)
-        shares = np.array([found[name][w] for w in common] + [0.0]) / max(total, 1)
+    sums = _word_counts(docs, "text", "lang", references, wanted).groupBy("at", "word").agg(F.sum("n").alias("n")).collect()
+    if len(languages) > frequent:
+        summed = first.where(F.col("at") >= frequent).groupBy("at", "word").agg(F.sum("n").alias("n"))
+        totals = summed.where("word is null").select("at", F.col("n").alias("total"))
+        sums += summed.join(totals, "at").where(F.col("n") >= COMMON_SHARE * F.col("total")).select("at", "word", "n").collect()
+    found: list[dict] = [{} for _ in languages]
+    for row in sums:
+        found[row["at"]][None if row["word"] is None else bytes(row["word"])] = row["n"]
+    for own in found:
+        total = own.pop(None, 0)
+        common = sorted(w for w, n in own.items() if n >= COMMON_SHARE * total)
+        shares = np.array([own[w] for w in common] + [0.0]) / max(total, 1)
         shares[-1] = 1 - shares.sum()
         references.words.append((common, shares))
     return references
@@ -224,7 +270,7 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", references:
         repeated = repeated_words(words)
         failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * len(words)
         known = shared.value
-        by_class = known.class_distance(class_counts(data))
+        by_class = known.class_distance(class_counts(data), language)
         by_word = known.word_distance(data.lower().split(), language)
         return (
             len(words), len(value) - sum(map(value.count, _SPACE)), sum(map(data.count, symbols)),

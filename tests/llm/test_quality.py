@@ -64,3 +64,23 @@ def test_edges(edges, none):
     assert all(r["base_failed"] and not r["kept"] for r in judged.where("doc_id in (1, 2, 3)").collect())
     assert quality.good_documents(edges).columns == edges.columns
     assert quality.assess(none).count() == 0 and quality.good_documents(none).count() == 0
+
+
+def test_clean_documents_of_rare_languages_stay(spark):
+    """24 documents in a language of its own script and 5 in another, in a table of 30,000 and more."""
+    rng = np.random.default_rng(1)
+
+    def text(letters, words):
+        kinds = ["".join(rng.choice(list(letters), 5)) for _ in range(60)]
+        return lambda more=0: " ".join(rng.choice(kinds, words + more))
+
+    latin, thai, greek = text("abcdefghijkl", 55), text("กขคงจฉชซ", 400), text("αβγδεζηθ", 400)
+    # References are medians of different counts of character classes.
+    rows = [(i, latin(i % 40) + " " + "A" * (i // 40 % 30) + "." * (i // 1_200), "en") for i in range(30_000)]
+    rows += [(100_000 + i, thai(i), "th") for i in range(24)] + [(200_000 + i, greek(i), "el") for i in range(5)]
+    junk = text("#*$%|<>&", 400)()
+    rows += [(300_000, junk, "th"), (300_001, junk, "en"), (300_002, junk, "el")]
+    judged = quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 100000").collect()
+    assert all(r["kept"] for r in judged if r["doc_id"] < 300_000 and not r["base_failed"])
+    assert sum(not r["base_failed"] for r in judged if r["doc_id"] < 300_000) == 29
+    assert not any(r["kept"] for r in judged if r["doc_id"] >= 300_000)
