@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlens.llm import bpe, decontaminate, licenses, neardup, pagetext, pitman_yor, quality, secrets, sharding, warc
+from paperlens.llm import (
+    bpe, decontaminate, exactdup, filteraudit, licenses, neardup, orchard, pagetext, pitman_yor, quality, secrets, sharding, warc,
+)
 from paperlens.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +121,20 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op11_exactdup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    return exactdup.exact_classes(documents, keep="largest")
+
+
+@query
+def op12_orchard(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.cluster(table(spark, folder, "embeddings", "vec_id", "embedding")).drop("compared")
+
+
+@query
+def op13_filteraudit(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents", "doc_id", "text", "lang")
+    return filteraudit.audit(documents, table(spark, folder, "labels", "doc_id", "quality", "toxic"))
