@@ -12,10 +12,25 @@ def percentile_in(x: Column, distribution: Column) -> Column:
     below (so also for an empty distribution). NaN is above nothing.
     """
     x = x.cast("double")
-    below = F.filter(distribution, lambda e: ~F.isnan(x) & (e["value"] < x))
+    below, size = count_below(x, distribution), F.size(distribution)
     return (
         F.when(x.isNull(), F.lit(None).cast("double"))
-        .when(F.size(below) == F.size(distribution), F.lit(1.0))
-        .when(F.size(below) == 0, F.lit(0.0))
-        .otherwise(F.element_at(below, -1)["ptile"])
+        .when(below == size, F.lit(1.0))
+        .when(below == 0, F.lit(0.0))
+        .otherwise(F.get(distribution, below - 1)["ptile"])
     )
+
+
+def count_below(x: Column, distribution: Column) -> Column:
+    """Number of elements whose value is strictly below ``x``, none for NaN: a binary search, whose steps
+    add up powers of two from the largest within the size."""
+    size = F.size(distribution)
+    powers = F.transform(
+        F.sequence(F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int"), F.lit(0)),
+        lambda e: F.call_function("shiftleft", F.lit(1), e))
+
+    def step(found: Column, power: Column) -> Column:
+        value = F.get(distribution, found + power - 1)["value"]
+        return F.when((found + power <= size) & ~F.isnan(x) & (value < x), found + power).otherwise(found)
+
+    return F.aggregate(powers, F.lit(0), step)

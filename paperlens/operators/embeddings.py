@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from paperlens.functions.text import TokenFn
+from paperlens.operators import frames
 from paperlens.operators.bow import unknown_term_weight
-from paperlens.operators.frames import lookup_join
+from paperlens.operators.frames import has_at_most
+from paperlens.operators.pivots import matrix
 from paperlens.operators.tokens import tokenize_texts
+from paperlens.session import checkpointed
 from paperlens.sources.catalog import DIMENSION
 
-_ROW_BYTES = 100  # a broadcast row apart from its vector
+_ROW_BYTES = 100  # a broadcast word apart from its vector
 
 
 def _element_sums(
@@ -64,22 +71,85 @@ def centroids(
     return _element_sums(rows, keys, vector, share, dimension, total)
 
 
-def _vocabulary(word_vectors: DataFrame, dimension: int | None) -> DataFrame:
-    """(term, _vector), checked once per word and not at every token."""
-    return word_vectors.select(
-        F.col("word").alias("term"), _checked(F.col("embedding"), dimension).alias("_vector"))
+def _vocabulary(word_vectors: DataFrame) -> DataFrame:
+    """(term, _vector) of the words that have one."""
+    return word_vectors.select(F.col("word").alias("term"), F.col("embedding").alias("_vector")).where(
+        F.col("_vector").isNotNull())
 
 
-def _known_terms(rows: DataFrame, words: DataFrame, dimension: int | None) -> DataFrame:
-    """(id, weight, vector) of every row whose term has a vector; the weight comes with either side.
+def _packed(words: DataFrame, dimension: int | None) -> tuple[DataFrame, np.ndarray, np.ndarray | None]:
+    """(term, _number), and the vectors and weights of the words by number, in the type they are stored in."""
+    table = words.toArrow()
+    vectors = matrix(table["_vector"])
+    if table["_vector"].combine_chunks().flatten().null_count or (dimension is not None and len(table) and vectors.shape[1] != dimension):
+        raise ValueError("vectors differ in length or have null elements")
+    numbers = pa.table({"term": table["term"], "_number": pa.array(range(len(table)), pa.int32())})
+    weights = table["weight"].to_numpy() if "weight" in table.column_names else None
+    return words.sparkSession.createDataFrame(numbers, "term string, _number int"), vectors, weights
 
-    Joined by broadcast, the terms of an id stay together and shrink to one row per task
-    before any shuffle. A vocabulary too large for that is split: terms that make up at least
-    1/limit of all rows (so at most limit terms) are broadcast, only the rare remainder is
-    shuffled by term. No frequent term is thereby ever a hot key.
+
+def _partial_sums(rows: DataFrame, vectors: np.ndarray, weights: np.ndarray | None) -> DataFrame:
+    """(id, _w, _sums): the weighted sum of the vectors of each run of rows with one id, and of their weights.
+
+    ``rows(id, _number[, weight])``; without a weight that of the word counts. A run costs one reduction of a slice
+    of the matrix of vectors; runs of an id are added up later.
+    """
+    schema = T.StructType([
+        rows.schema["id"], T.StructField("_w", T.DoubleType()), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+    arrow, sent = to_arrow_schema(schema), rows.sparkSession.sparkContext.broadcast((vectors, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, weights = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, number = batch.column("id"), batch.column("_number").to_numpy()
+            w = weights[number] if weights is not None else batch.column("weight").cast(pa.float64()).fill_null(0.0).to_numpy()
+            new = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).fill_null(True).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            sums = np.add.reduceat(vectors[number] * w[:, None], starts, axis=0)
+            offsets = pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                ids.take(pa.array(starts)), pa.array(np.add.reduceat(w, starts)),
+                pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1)))], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _weighted_means(rows: DataFrame, words: DataFrame, dimension: int | None) -> DataFrame:
+    """(id, embedding) of ``rows(id, term[, weight])`` over ``words(term, _vector[, weight])``.
+
+    Words go out packed: terms with numbers by a broadcast join, vectors as one matrix, so tokens are not
+    shuffled and the terms of an id shrink to a row per run. A vocabulary too large for that is split: terms
+    that make up at least 1/limit of all rows (so at most limit terms) are packed, only the rare remainder is
+    shuffled by term, so no frequent term is ever a hot key.
     """
-    width = _ROW_BYTES + 8 * (dimension or DIMENSION)
-    return lookup_join(rows, words, "term", row_bytes=width).select("id", "weight", "_vector")
+    words = checkpointed(words)
+    single = words.schema["_vector"].dataType.elementType == T.FloatType()
+    limit = max(1, frames.BROADCAST_BYTES // (_ROW_BYTES + (4 if single else 8) * (dimension or DIMENSION)))
+    carried = [c for c in ("id", "term", "weight") if c in rows.columns]
+    if has_at_most(words, limit):
+        frequent, rare = words, None
+    else:
+        counts, every = rows.groupBy("term").agg(F.count("*").alias("_count")), rows.agg(F.count("*")).scalar()
+        often = checkpointed(counts.where(F.col("_count") * limit >= every).select("term"))
+        frequent, rare = words.join(F.broadcast(often), "term", "left_semi"), words.join(F.broadcast(often), "term", "left_anti")
+    numbers, vectors, weights = _packed(frequent, dimension)
+    width = vectors.shape[1] if len(vectors) else dimension
+    numbered = rows.select(*carried).join(F.broadcast(numbers), "term").drop("term")
+    parts = _partial_sums(numbered, vectors, weights)
+    if rare is not None:
+        left = rows.select(*carried).join(F.broadcast(often), "term", "left_anti").join(
+            rare.withColumn("_vector", _checked(F.col("_vector"), dimension)), "term")
+        share = F.coalesce(F.col("weight").cast("double"), F.lit(0.0))
+        parts = parts.unionByName(left.select(
+            "id", share.alias("_w"), F.transform("_vector", lambda x: x * share).alias("_sums")))
+        width = width or len(words.first()["_vector"])
+    if width is None:
+        return parts.select("id", F.col("_sums").alias("embedding")).limit(0)
+    summed = parts.groupBy("id").agg(F.sum("_w").alias("_w"), *[F.sum(F.col("_sums")[i]).alias(f"_s{i}") for i in range(width)])
+    return summed.where(F.col("_w") != 0).select(
+        "id", F.array(*[F.col(f"_s{i}") / F.col("_w") for i in range(width)]).alias("embedding"))
 
 
 def embed_bow(bow: DataFrame, word_vectors: DataFrame, *, dimension: int | None = None) -> DataFrame:
@@ -89,8 +159,7 @@ def embed_bow(bow: DataFrame, word_vectors: DataFrame, *, dimension: int | None
     known term, or with total weight 0, is left out. Best fed from stored maps, where the
     terms of an id lie together.
     """
-    words = _vocabulary(word_vectors, dimension)
-    return _element_sums(_known_terms(bow, words, dimension), ["id"], "_vector", F.col("weight"), dimension)
+    return _weighted_means(bow.select("id", "term", "weight"), _vocabulary(word_vectors), dimension)
 
 
 def embed_tokens(
@@ -104,12 +173,12 @@ def embed_tokens(
     """
     weights = idf.select(F.col("token").alias("term"), F.col("weight").alias("_idf"))
     words = (
-        _vocabulary(word_vectors, dimension)
+        _vocabulary(word_vectors)
         .join(weights, "term", "left")
         .select("term", "_vector", F.coalesce("_idf", unknown_term_weight(idf, unknown_weight)).alias("weight"))
     )
     rows = tokenized.select("id", F.explode("terms").alias("term"))
-    return _element_sums(_known_terms(rows, words, dimension), ["id"], "_vector", F.col("weight"), dimension)
+    return _weighted_means(rows, words, dimension)
 
 
 def embed_texts(

@@ -67,6 +67,37 @@ def test_weighted_means(spark, words, rows, dimension, limit, monkeypatch):
     assert rows(got) == [("1", (0.25, 1.5)), ("4", (0.0, 2.0)), ("5", (9.0, 9.0))]
 
 
+@pytest.mark.parametrize("limit", [10**9, 3000, 0])
+def test_weighted_means_of_many_runs(spark, limit, monkeypatch):
+    """Ids spread over batches, partitions and runs, repeated and null ids, words without a vector."""
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", limit)
+    vectors = {f"w{i}": [float((i * j) % 7 - 3) for j in range(1, 6)] for i in range(60)}
+    words = spark.createDataFrame([*vectors.items(), ("none", None)], "word string, embedding array<double>")
+    counted = [(None if i % 11 == 0 else f"d{i * i % 40}", f"w{i % 90}", float(i % 5) - 1) for i in range(25_000)]
+    counted += [("d0", "none", 5.0), ("only", "none", 1.0), ("d1", None, 2.0)]
+    sums = {}
+    for key, term, weight in counted:
+        if term in vectors:
+            total, row = sums.get(key, (0.0, [0.0] * 5))
+            sums[key] = total + weight, [a + weight * b for a, b in zip(row, vectors[term])]
+    bow_rows = spark.createDataFrame(counted, "id string, term string, weight double").repartition(4)
+    got = {r["id"]: r["embedding"] for r in embeddings.embed_bow(bow_rows, words).collect()}
+    assert set(got) == {key for key, (total, _) in sums.items() if total}
+    for key, vector in got.items():
+        assert vector == pytest.approx([v / sums[key][0] for v in sums[key][1]])
+
+
+@pytest.mark.parametrize("dimension", [None, 2])
+def test_weighted_means_of_nothing(spark, words, dimension):
+    none = spark.createDataFrame([], "id string, term string, weight double")
+    assert embeddings.embed_bow(none, words, dimension=dimension).count() == 0
+    some = spark.createDataFrame([("1", "a", 1.0)], "id string, term string, weight double")
+    got = embeddings.embed_bow(some, words.where("false"), dimension=dimension)
+    assert got.columns == ["id", "embedding"] and got.count() == 0
+    with pytest.raises(ValueError, match="length"):
+        embeddings.embed_bow(some, words, dimension=3)
+
+
 def test_token_vectors_equal_bow_vectors(spark, tokenized, words, rows):
     idf = spark.createDataFrame([("a", 2.0), ("d", 7.0)], "token string, weight double")
     by_bow = embeddings.embed_bow(bow.tf_idf(tokenized, idf), words, dimension=2)
@@ -79,7 +110,7 @@ def test_token_vectors_equal_bow_vectors(spark, tokenized, words, rows):
 def test_token_vectors_do_not_shuffle_tokens(spark, tokenized, words, plan, tmp_path):
     idf = spark.createDataFrame([("a", 2.0)], "token string, weight double")
     text = plan(embeddings.embed_tokens(tokenized, words, idf, dimension=2))
-    assert "BroadcastHashJoin [term" in text and "hashpartitioning(id" in text and "Python" not in text
+    assert "BroadcastHashJoin [term" in text and "hashpartitioning(id" in text and "hashpartitioning(term" not in text
 
 
 @pytest.mark.parametrize("dimension", [None, 2])

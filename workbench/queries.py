@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperlens.functions.vectors import add, divide, scale
@@ -312,6 +313,13 @@ def knn_papers(t: Tables) -> DataFrame:
     return neighbors.nearest(queries, t.vectors(), 5).select("query_id", "id", r6("d2"), "rank")
 
 
+@query
+def knn_papers_by_index(t: Tables) -> DataFrame:
+    """As for queries too many to broadcast: through the blocks of the pivot index."""
+    queries = t.vectors().withColumnRenamed("id", "query_id")
+    return neighbors.nearest(queries, t.vectors(), 5, broadcast_queries=0).select("query_id", "id", r6("d2"), "rank")
+
+
 @query
 def knn_to_journals(t: Tables) -> DataFrame:
     return neighbors.nearest(_journal_queries(t), t.vectors(), 10).select("query_id", "id", r6("d2"), "rank")
@@ -327,9 +335,8 @@ def k_farthest(t: Tables) -> DataFrame:
 @query
 def k_best_by_order(t: Tables) -> DataFrame:
     """Caller's order: whole distances first, then falling id."""
-    distances = neighbors.l2_distances(_journal_queries(t), t.vectors())
-    order = [F.floor(F.col("d2") * 10), F.desc("id")]
-    return neighbors.best_by(distances, 7, order).select("query_id", "id", r6("d2"), "rank")
+    order = [(pc.floor(pc.multiply(pc.field("d2"), pc.scalar(10.0))), "ascending"), (pc.field("id"), "descending")]
+    return neighbors.best_under(_journal_queries(t), t.vectors(), 7, order).select("query_id", "id", r6("d2"), "rank")
 
 
 @query
@@ -648,6 +655,13 @@ def neighbor_histogram(t: Tables) -> DataFrame:
     return rows.select("query_id", "issn", "n_test", r6("share_test"))
 
 
+@query
+def neighbor_histogram_by_index(t: Tables) -> DataFrame:
+    """Areas decide which blocks of the index a paper visits."""
+    rows = scope.neighbour_histograms(_scope_papers(t), t.papers(), t.vectors(), NEIGHBOURS, broadcast_queries=0)
+    return rows.select("query_id", "issn", "n_test", r6("share_test"))
+
+
 @query
 def scope_match_scores(t: Tables) -> DataFrame:
     rows = scope.scope_scores(_scope_papers(t), t.papers(), t.vectors(), NEIGHBOURS)

@@ -520,3 +520,5 @@ ORACLES |= {
         f"SELECT {r6('d2_diff', 'value')}, {r6('ptile', 'ptile')} FROM trend WHERE issn = 'src1'")),
 }
 ORACLES["originality_distances_by_author"] = ORACLES["originality_distances"]
+ORACLES["knn_papers_by_index"] = ORACLES["knn_papers"]
+ORACLES["neighbor_histogram_by_index"] = ORACLES["neighbor_histogram"]
