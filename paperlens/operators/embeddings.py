@@ -124,11 +124,10 @@ def _weighted_means(rows: DataFrame, words: DataFrame, dimension: int | None) ->
     that make up at least 1/limit of all rows (so at most limit terms) are packed, only the rare remainder is
     shuffled by term, so no frequent term is ever a hot key.
     """
-    words = checkpointed(words)
     single = words.schema["_vector"].dataType.elementType == T.FloatType()
     limit = max(1, frames.BROADCAST_BYTES // (_ROW_BYTES + (4 if single else 8) * (dimension or DIMENSION)))
     carried = [c for c in ("id", "term", "weight") if c in rows.columns]
-    if has_at_most(words, limit):
+    if has_at_most(words.select("term"), limit):
         frequent, rare = words, None
     else:
         counts, every = rows.groupBy("term").agg(F.count("*").alias("_count")), rows.agg(F.count("*")).scalar()

@@ -47,6 +47,7 @@ def lookup_join(
     the rows of the other keys are shuffled. Keys are matched like an equi-join, so null meets nothing.
     """
     keys, limit = [on] if isinstance(on, str) else list(on), max(1, BROADCAST_BYTES // row_bytes)
+    table = checkpointed(table)  # It is read to be measured and again to be joined.
     if has_at_most(table, limit):
         return rows.join(F.broadcast(table), keys, how)
     counts, every = rows.groupBy(*keys).agg(F.count("*").alias("_count")), rows.agg(F.count("*")).scalar()

@@ -1,7 +1,8 @@
 """PageRank on the co-author graph.
 
-Ranks start at 1 and are replaced by ``reset + (1 - reset) * sum of shares received`` until
-no rank moves by more than the tolerance; they are scaled to sum to the number of vertices.
+Ranks start at 1 and are replaced by ``reset + (1 - reset) * sum of shares received``, for a number of rounds or
+until no rank moves by more than the tolerance; they are scaled to sum to the number of vertices. In the
+second case rounds send changes only, and only those above the tolerance.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlens.operators.coauthors import coauthor_pairs, reachable_authors
 from paperlens.session import checkpointed
@@ -27,26 +28,42 @@ def _placed(df: DataFrame, key: str) -> DataFrame:
     return placed
 
 
-def _iterate(
-    start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int | None, tolerance: float, block: int
-) -> DataFrame:
-    """Apply ``step`` to (auid, rank) for ``rounds`` rounds; without, until a round moves no rank by more
-    than ``tolerance``, which it does in the end as each round shrinks the differences by 1 - reset.
-
-    ``step`` also gives the rank before the round as ``_before``. Lineage is cut after ``block`` rounds,
-    after each one where the ranks decide when to stop.
-    """
+def _iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, block: int) -> DataFrame:
+    """Apply ``step`` to (auid, rank) for ``rounds`` rounds; lineage is cut after ``block`` of them."""
     ranks, done = checkpointed(start), 0
-    while rounds is None or done < rounds:
-        count = 1 if rounds is None else min(block, rounds - done)
+    while done < rounds:
+        count = min(block, rounds - done)
         for _ in range(count):
             ranks = step(ranks)
         ranks, done = checkpointed(ranks), done + count
-        if rounds is None:
-            gap = ranks.agg(F.max(F.abs(F.col("rank") - F.col("_before")))).first()[0]
-            if gap is None or gap <= tolerance:
-                break
-    return ranks.select("auid", "rank")
+    return ranks
+
+
+def _settled(
+    vertices: DataFrame, spread: Callable[[DataFrame], DataFrame], tolerance: float, reset: float
+) -> tuple[DataFrame, list[int]]:
+    """(auid, rank) once no rank has moved by more than ``tolerance`` since it was sent, and how many were sent
+    in each round.
+
+    ``spread`` turns amounts sent (auid, sent) into those received (auid, received). As that is linear, a round
+    need not send ranks, only what they have changed by; those that have hardly moved wait, and their links
+    are not read. It ends as each round shrinks what is sent by 1 - reset.
+    """
+    def after(state: DataFrame, sent: DataFrame, rank: Column, waiting: Column) -> DataFrame:
+        gained = F.lit(1.0 - reset) * F.coalesce("received", F.lit(0.0))
+        return checkpointed(state.join(spread(sent), "auid", "left").select(
+            "auid", (rank + gained).alias("rank"), (waiting + gained).alias("waiting")))
+
+    # The first round is that of ranks of 1.
+    ones = vertices.select("auid", F.lit(1.0).alias("sent"))
+    state, counts = after(vertices, ones, F.lit(reset), F.lit(reset - 1.0)), []
+    while True:
+        moved = F.abs("waiting") > tolerance
+        sent = state.where(moved).select("auid", F.col("waiting").alias("sent"))
+        counts.append(sent.count())
+        if not counts[-1]:
+            return state.select("auid", "rank"), counts
+        state = after(state, sent, F.col("rank"), F.when(moved, F.lit(0.0)).otherwise(F.col("waiting")))
 
 
 def _scaled(ranks: DataFrame) -> DataFrame:
@@ -62,19 +79,16 @@ def pagerank_of_edges(
     out = weighted.groupBy("left").agg(F.sum("_w").alias("_out"))
     shares = weighted.join(out, "left").select("left", "right", (F.col("_w") / F.col("_out")).alias("_share"))
     vertices = weighted.select(F.col("left").alias("auid")).union(weighted.select("right")).distinct()
-    # A link of share 0 to itself keeps a vertex that nobody links to, and brings its rank before the round.
+    # A link of share 0 to itself keeps a vertex that nobody links to.
     links = _placed(shares.union(vertices.select("auid", "auid", F.lit(0.0))), "left")
 
-    def step(ranks: DataFrame) -> DataFrame:
-        received = F.sum(F.col("rank") * F.col("_share"))
-        own = F.max(F.when(F.col("left") == F.col("right"), F.col("rank")))
+    def spread(sent: DataFrame) -> DataFrame:
         return (
-            links.join(ranks.select(F.col("auid").alias("left"), "rank"), "left").groupBy(F.col("right").alias("auid"))
-            .agg((F.lit(reset) + F.lit(1.0 - reset) * received).alias("rank"), own.alias("_before"))
+            links.join(sent.withColumnRenamed("auid", "left"), "left").groupBy(F.col("right").alias("auid"))
+            .agg(F.sum(F.col("sent") * F.col("_share")).alias("received"))
         )
 
-    start = vertices.withColumn("rank", F.lit(1.0))
-    ranks = _iterate(start, step, rounds, tolerance, block=5)
+    ranks = _ranks(vertices, spread, rounds, tolerance, reset, block=5)
     links.unpersist()
     return _scaled(ranks)
 
@@ -86,43 +100,65 @@ def pagerank_of_papers(
 
     With m the number of times an author is on a paper, an author sends m * m' of its links
     through the paper to an author listed m' times. So a round is one sum per paper and
-    one per author, linear in the author list where the pairs grow with its square.
+    one per author, linear in the author list where the pairs grow with its square, and
+    reads the ranks once.
     """
     listed = authors.groupBy("eid", "auid").agg(F.count("*").alias("_m"))
     sizes = listed.groupBy("eid").agg(F.sum("_m").alias("_size"))
     listed = checkpointed(
         listed.join(sizes, "eid").where(F.col("_m") < F.col("_size")).select("eid", "auid", "_m", "_size")
     )
-    links = listed.groupBy("auid").agg(
-        F.sum(F.col("_m") * (F.col("_size") - F.col("_m"))).alias("_out"),
-        F.sum(F.col("_m") * F.col("_m")).alias("_self"),
-    )
-    by_author, by_paper = (_placed(listed.select("eid", "auid", "_m"), key) for key in ("auid", "eid"))
-    start = links.select("auid", "_out", "_self", F.lit(1.0).alias("rank"))
-
-    def step(ranks: DataFrame) -> DataFrame:
-        per_link = ranks.select("auid", (F.col("rank") / F.col("_out")).alias("_per_link"))
-        through = (
-            by_author.join(per_link, "auid").groupBy("eid")
-            .agg(F.sum(F.col("_m") * F.col("_per_link")).alias("_through"))
-        )
-        received = (
-            by_paper.join(through, "eid").groupBy("auid")
-            .agg(F.sum(F.col("_m") * F.col("_through")).alias("_sum"))
-        )
-        from_others = F.col("_sum") - F.col("rank") / F.col("_out") * F.col("_self")
-        return ranks.join(received, "auid").select(
-            "auid", "_out", "_self", (F.lit(reset) + F.lit(1.0 - reset) * from_others).alias("rank"),
-            F.col("rank").alias("_before"),
+    out = listed.groupBy("auid").agg(F.sum(F.col("_m") * (F.col("_size") - F.col("_m"))).alias("_out"))
+    out = checkpointed(out)
+    links = _placed(listed.join(out, "auid").select("eid", "auid", "_m", (F.lit(1.0) / F.col("_out")).alias("_per")), "auid")
+
+    def through_each(sent: DataFrame) -> DataFrame:
+        """All listed authors of a paper send, so the sum over a paper meets each of its rows in a window."""
+        own = F.col("_m") * F.col("sent") * F.col("_per")
+        paper = F.sum("_own").over(Window.partitionBy("eid"))
+        return (
+            links.join(sent, "auid").select("eid", "auid", "_m", own.alias("_own"))
+            .select("auid", (F.col("_m") * (paper - F.col("_own"))).alias("_gained"))
+            .groupBy("auid").agg(F.sum("_gained").alias("received"))
         )
 
-    # A round reads the ranks twice, so plans would double with each round left uncut.
-    ranks = _iterate(start, step, rounds, tolerance, block=1)
-    by_author.unpersist()
-    by_paper.unpersist()
+    ranks = (
+        _iterate(out.select("auid", F.lit(1.0).alias("rank")), lambda r: _after(r, through_each, reset), rounds, block=1)
+        if rounds is not None else _settled(out.select("auid"), _some_authors(links), tolerance, reset)[0]
+    )
+    links.unpersist()
     return _scaled(ranks)
 
 
+def _some_authors(links: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What the authors of a paper receive from those that send: the links of the others are not read, and
+    of papers only those where someone sends."""
+    by_paper = links.select("eid", "auid", "_m")
+
+    def spread(sent: DataFrame) -> DataFrame:
+        own = links.join(sent, "auid").select("eid", "auid", "_m", (F.col("_m") * F.col("sent") * F.col("_per")).alias("_own"))
+        through = own.groupBy("eid").agg(F.sum("_own").alias("_through"))
+        given = by_paper.join(through, "eid").select("auid", (F.col("_m") * F.col("_through")).alias("_gained"))
+        back = own.select("auid", (-F.col("_m") * F.col("_own")).alias("_gained"))
+        return given.unionByName(back).groupBy("auid").agg(F.sum("_gained").alias("received"))
+
+    return spread
+
+
+def _after(ranks: DataFrame, spread: Callable[[DataFrame], DataFrame], reset: float) -> DataFrame:
+    return spread(ranks.withColumnRenamed("rank", "sent")).select(
+        "auid", (F.lit(reset) + F.lit(1.0 - reset) * F.col("received")).alias("rank"))
+
+
+def _ranks(
+    vertices: DataFrame, spread: Callable[[DataFrame], DataFrame], rounds: int | None, tolerance: float, reset: float, block: int,
+) -> DataFrame:
+    if rounds is None:
+        return _settled(vertices, spread, tolerance, reset)[0]
+    start = vertices.select("auid", F.lit(1.0).alias("rank"))
+    return _iterate(start, lambda r: _after(r, spread, reset), rounds, block)
+
+
 def coauthor_pagerank(
     authors: DataFrame, issns: Sequence[str], unambiguous: DataFrame | None = None, *, distinct: bool,
     rounds: int | None = None, tolerance: float = TOLERANCE,

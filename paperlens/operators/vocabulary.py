@@ -22,16 +22,19 @@ def term_frequency(*tokenized: DataFrame) -> DataFrame:
 
 
 def doc_frequency(*tokenized: DataFrame, one_row_per_id: bool = False) -> DataFrame:
-    """Distinct ids that contain each token; a row's repeats are dropped before the shuffle.
+    """Distinct ids that contain each token.
 
-    With ``one_row_per_id`` (all tables taken together) rows are counted instead of ids,
-    so tasks send one number per token and not every pair of token and id.
+    The tokens are shuffled once, by id: repeats are dropped where the tokens of an id are, and tasks then send
+    one number per token and not every pair of token and id. With ``one_row_per_id`` (all tables taken
+    together) that shuffle is spared, too.
     """
-    count = F.count("*") if one_row_per_id else F.countDistinct("id")
-    return (
-        _together(tokenized).select("id", F.explode(F.array_distinct("terms")).alias("token"))
-        .groupBy("token").agg(count.alias("freq"))
-    )
+    rows = _together(tokenized).select("id", F.array_distinct("terms").alias("terms"))
+    if not one_row_per_id:
+        rows = rows.where(F.col("id").isNotNull()).repartition("id")
+    tokens = rows.select("id", F.explode("terms").alias("token"))
+    if not one_row_per_id:
+        tokens = tokens.distinct()
+    return tokens.groupBy("token").agg(F.count("*").alias("freq"))
 
 
 def idf_weights(doc_freq: DataFrame, *tokenized: DataFrame) -> DataFrame:

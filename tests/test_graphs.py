@@ -116,6 +116,23 @@ def test_rounds_go_on_until_ranks_stand_still(spark, rows):
     assert rows(by_edges) == rows(pagerank.pagerank_of_edges(pairs, rounds=200))
 
 
+def test_ranks_that_stand_still_are_not_sent(spark, rows):
+    """A long path hangs on a group of authors of one paper: the group settles first, and its links rest."""
+    lists = [("hub", f"h{i}") for i in range(40)] + [(str(i), a) for i in range(30) for a in (f"p{i}", f"p{i + 1}")] + [("x", "h0"), ("x", "p0")]
+    authors = spark.createDataFrame(lists, "eid string, auid string")
+    links = authors.join(authors.groupBy("eid").agg((F.count("*") - 1).alias("n")), "eid")
+    out = links.groupBy("auid").agg((F.lit(1.0) / F.sum("n")).alias("_per"))
+    placed = links.join(out, "auid").select("eid", "auid", F.lit(1).alias("_m"), "_per")
+    spread = pagerank._some_authors(placed)
+    ranks, sent = pagerank._settled(out.select("auid"), spread, 1e-4, 0.15)
+    assert sent[-1] == 0 and len(sent) > 8
+    rounds = len(sent) - 1
+    assert sum(sent[rounds // 2:]) < 0.5 * sum(sent[:rounds // 2]) and sum(sent) < 0.7 * 71 * rounds
+    exact = dict(rows(pagerank.pagerank_of_papers(authors, rounds=150)))
+    scaled = dict(rows(pagerank._scaled(ranks)))
+    assert scaled == pytest.approx(exact, abs=1e-3)
+
+
 def test_rounds_shuffle_ranks_only(spark, plan, monkeypatch):
     links = pagerank._placed(spark.createDataFrame([("a", "b"), ("b", "a")], "left string, right string"), "left")
     ranks = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "left string, rank double")

@@ -475,7 +475,7 @@ def hindex_percentile_by_journal(t: Tables) -> DataFrame:
 @query
 def academic_authority(t: Tables) -> DataFrame:
     """Suppliers ask for the authority of customers of their number, some of whom are unknown authors."""
-    known = _hindex(t)
+    known = checkpointed(_hindex(t))
     ptiles = au.hindex_percentiles(t.journal_authors(), known)
     return au.academic_authority(t.authority_requests(), known, ptiles).select("issn", "auid", "hindex", r6("authority"))
 

@@ -100,7 +100,7 @@ class Tables:
             F.sequence(F.lit(0), F.lit(WORD_DIMENSION - 1)),
             lambda i: (F.length(word) * (i + 1) + first * (i % 7) + last * (i % 3)) % 17,
         )
-        return words.select("word", vector.cast("array<double>").alias("embedding"))
+        return words.select("word", vector.cast("array<float>").alias("embedding"))
 
     def paper_authors(self) -> DataFrame:
         """(eid, issn, auid): suppliers as authors of orders, customer groups as journals."""
