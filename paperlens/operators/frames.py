@@ -66,9 +66,10 @@ def computed_once(column: Column) -> Column:
 
 
 def hash_share(key: str, seed: int = 0) -> Column:
-    """Uniform number in [0, 1) that depends on the key only, so it survives recomputation."""
-    steps = 1 << 30
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(steps)) / F.lit(float(steps))
+    """Uniform number in [0, 1) that depends on the key only, so it survives recomputation: the first 32 bits of
+    the SHA-256 of seed, colon and key (null: empty), as any other engine can state them."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
 def pairs_within(

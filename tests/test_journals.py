@@ -1,6 +1,12 @@
+import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
-from paperlens.operators import classifiers, journals, onehot
+from paperlens.functions.vectors import dense, sparse_one_hot
+from paperlens.operators import classifiers, journals, logistic, onehot
+from paperlens.operators.logistic import Gradient, Newton, fit, masked_points
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +49,8 @@ def test_area_one_hot(papers, vectors, rows):
 def test_journal_one_hot(papers, rows):
     assert rows(onehot.journal_index(papers, ["Y", "Z"])) == [("J", 1), ("K", 0), ("L", 2)]
     encoded = onehot.journal_one_hot(papers, ["Y"])
-    assert rows(encoded) == [
+    assert encoded.dtypes == [("id", "string"), ("ohe", "struct<size:int,slot:int>")]
+    assert rows(encoded.select("id", dense(F.col("ohe")))) == [
         ("1", (1, 0)), ("2", (1, 0)), ("3", (0, 1)), ("6", (0, 1))]
 
 
@@ -68,6 +75,59 @@ def test_area_models(spark, separable, rows):
     assert {r.label for r in classifiers.all_areas_accuracy(separable, slots=2).collect()} == {"0", "1"}
 
 
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Labels of 70 slots, more than a word holds, that no plane separates."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 4)) * [1, 10, 0.1, 3] + [0, 5, 0, -2]
+    true = rng.normal(size=(70, 4)) / [1, 10, 0.1, 3]
+    flags = (x - x.mean(axis=0)) @ true.T + rng.normal(size=(700, 70)) * 2 > 0.3
+    rows = [(f"p{i}", [int(f) for f in flags[i]], [float(v) for v in x[i]]) for i in range(700)]
+    return spark.createDataFrame(rows, "id string, ohe array<int>, features array<double>").repartition(5)
+
+
+@pytest.mark.parametrize("solver, within", [(Newton(), 1e-3), (Gradient(steps=60), 1e-2)])
+def test_models_are_those_of_another_solver(noisy, solver, within):
+    points = masked_points(noisy, 70)
+    training, testing = classifiers.split(points)
+    models = fit(training, 70, solver)
+    hits, total = models.hits(testing)
+    assert total == testing.count() and 0 < total < 200
+    for slot in (0, 62, 63, 69):
+        flagged = models.transform(training, slot).select("label", array_to_vector("features").alias("features"))
+        other = LogisticRegression(tol=1e-10, maxIter=300).fit(flagged)
+        assert models.weights[slot] == pytest.approx(other.coefficients.toArray(), rel=10 * within, abs=within)
+        assert models.intercepts[slot] == pytest.approx(other.intercept, rel=10 * within, abs=10 * within)
+        scored = models.transform(testing, slot)
+        assert scored.where("label = prediction").count() == hits[slot]
+
+
+def test_all_models_take_one_pass_a_step(noisy, monkeypatch):
+    monkeypatch.setattr(logistic, "MERGERS", 2)
+    passes = []
+    summed = logistic._summed
+    monkeypatch.setattr(logistic, "_summed", lambda *a: passes.append(a[1]) or summed(*a))
+    fit(masked_points(noisy, 70), 70, Gradient(steps=3))
+    assert passes == [70, 70, 70]
+
+
+def test_models_of_sparse_one_hots_and_of_little(spark, separable):
+    """The same models from flags and from slots; one label only, one row, no rows."""
+    flags = separable.select("id", F.array(F.col("ohe")[0], 1 - F.col("ohe")[0]).alias("ohe"), "features")
+    slots = separable.select("id", sparse_one_hot(1 - F.col("ohe")[0], 2).alias("ohe"), "features")
+    wanted = classifiers.all_areas_accuracy(flags, slots=2).collect()
+    assert classifiers.all_areas_accuracy(slots, slots=2).collect() == wanted
+    assert classifiers.area_accuracy(1, slots) == classifiers.area_accuracy(1, flags)
+    always = separable.withColumn("ohe", F.array(F.lit(1)))
+    hits, total = classifiers.area_accuracy(0, always)
+    assert hits == total > 0
+    assert classifiers.area_accuracy(0, separable.where("id = 'p1'"))[1] <= 1
+    assert classifiers.area_accuracy(0, separable.limit(0)) == (0, 0)
+    uneven = separable.withColumn("features", F.expr("if(id = 'p3', array(1D), features)"))
+    with pytest.raises(ValueError, match="length"):
+        classifiers.area_accuracy(0, uneven)
+
+
 def test_model_evaluation(separable):
     model, training, testing = classifiers.train_area_model(0, separable)
     result = classifiers.evaluate_model(model, training=training, testing=testing)

@@ -8,10 +8,10 @@ from collections.abc import Callable
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paperlens.functions.vectors import add, divide, scale
+from paperlens.functions.vectors import add, dense, divide, scale
 from paperlens.operators.frames import indexed, percent_ranked
 from paperlens.operators import (
-    authors as au, bow, classifiers, coauthors, embeddings, journals, neighbors, onehot, originality,
+    authors as au, bow, classifiers, coauthors, embeddings, journals, logistic, neighbors, onehot, originality,
     pagerank, papers as pp, percentiles, scope, tokens, trending, vocabulary, wordvectors,
 )
 from paperlens.session import checkpointed, ensure_checkpoint_dir, ship
@@ -396,14 +396,25 @@ def journal_index(t: Tables) -> DataFrame:
 
 @query
 def journal_onehot(t: Tables) -> DataFrame:
-    return onehot.journal_one_hot(t.papers(), AREAS).select("id", F.posexplode("ohe").alias("slot", "flag"))
+    """Written out from the sparse form."""
+    rows = onehot.journal_one_hot(t.papers(), AREAS)
+    return rows.select("id", F.posexplode(dense(F.col("ohe"))).alias("slot", "flag"))
+
+
+@query
+def journal_onehot_sparse(t: Tables) -> DataFrame:
+    return onehot.journal_one_hot(t.papers(), AREAS).select("id", "ohe.size", "ohe.slot")
 
 
 # --- classifiers
 
+# A number of gradient steps that SQL can state, too; Newton's method is the default.
+STEPS = logistic.Gradient(steps=20, rate=2.0)
+
+
 @query
 def area_lr_accuracy(t: Tables) -> DataFrame:
-    hits, total = classifiers.area_accuracy(0, onehot.area_one_hot(t.papers(), t.vectors()))
+    hits, total = classifiers.area_accuracy(0, onehot.area_one_hot(t.papers(), t.vectors()), solver=STEPS)
     return t.spark.createDataFrame([(0, hits, total)], "areaIndex int, fitcount long, totalcount long")
 
 
@@ -411,19 +422,22 @@ def area_lr_accuracy(t: Tables) -> DataFrame:
 def all_areas_lr(t: Tables) -> DataFrame:
     index = onehot.area_index(t.papers())
     data = onehot.area_one_hot(t.papers(), t.vectors(), index)
-    return classifiers.all_areas_accuracy(data, index, slots=index.count())
+    rows = classifiers.all_areas_accuracy(data, index, slots=index.count(), solver=STEPS)
+    return rows.select("label", "fitcount", "totalcount", r6("accuracy"))
 
 
 @query
 def area_lr_evaluation(t: Tables) -> DataFrame:
     data = onehot.area_one_hot(t.papers(), t.vectors())
-    model, training, testing = classifiers.train_area_model(0, data)
-    return classifiers.evaluate_model(model, training=training, testing=testing)
+    model, training, testing = classifiers.train_area_model(0, data, solver=STEPS)
+    rows = classifiers.evaluate_model(model, training=training, testing=testing)
+    rates = ("accuracy", "prevalence", "recall", "specificity", "ppv", "npv")
+    return rows.select(*[r6(c) if c in rates else c for c in rows.columns])
 
 
 @query
 def journal_one_vs_others(t: Tables) -> DataFrame:
-    return classifiers.one_journal_against_others(t.papers(), t.vectors(), AREAS, JOURNALS)
+    return classifiers.one_journal_against_others(t.papers(), t.vectors(), AREAS, JOURNALS, solver=STEPS)
 
 
 @query

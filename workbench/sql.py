@@ -522,3 +522,80 @@ ORACLES |= {
 ORACLES["originality_distances_by_author"] = ORACLES["originality_distances"]
 ORACLES["knn_papers_by_index"] = ORACLES["knn_papers"]
 ORACLES["neighbor_histogram_by_index"] = ORACLES["neighbor_histogram"]
+ORACLES["journal_onehot_sparse"] = _with("journal_index papers", (
+    "SELECT p.eid AS id, CAST((SELECT count(*) FROM journal_index) AS INTEGER) AS size, j.index AS slot "
+    "FROM papers p JOIN journal_index j ON j.issn = p.issn"))
+
+
+def _fitted(points: str, labels: str, steps: int = 20, rate: float = 2.0) -> dict[str, tuple[str, str]]:
+    """Logistic regressions by gradient steps: fitted(slot, id, train, y, hit) from points(id, features) and
+    labels(id, slot, y). Four fifths of the ids, by hash, train."""
+    parts = {
+        "lr_points": (f"SELECT id, features, substr(sha256('1:' || id), 1, 8) <= 'cccccccc' AS train FROM ({points})", ""),
+        "lr_labels": (labels, ""),
+        "lr_long": (f"SELECT id, train, unnest(range(1, {D + 1})) AS pos, unnest(features) AS x FROM lr_points", ""),
+        "lr_scales": ("SELECT pos, avg(x) AS m, stddev_samp(x) AS s FROM lr_long WHERE train GROUP BY pos", ""),
+        "lr_x": ("SELECT id, train, l.pos, (x - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS x FROM lr_long l "
+                 "JOIN lr_scales c ON c.pos = l.pos UNION ALL SELECT id, train, 0, 1 FROM lr_points", ""),
+        "lr_w0": (f"SELECT slot, pos, CAST(0 AS DOUBLE) AS w FROM (SELECT DISTINCT slot FROM lr_labels), "
+                  f"(SELECT unnest(range({D + 1})) AS pos)", ""),
+    }
+    for t in range(steps):
+        parts[f"lr_r{t}"] = (
+            f"SELECT l.slot, l.id, any_value(y) - 1 / (1 + exp(-sum(w * x))) AS r FROM lr_labels l "
+            f"JOIN lr_w{t} w ON w.slot = l.slot JOIN lr_x x ON x.id = l.id AND x.pos = w.pos WHERE train GROUP BY l.slot, l.id", "")
+        parts[f"lr_w{t + 1}"] = (
+            f"SELECT w.slot, w.pos, w + {rate} * g AS w FROM lr_w{t} w JOIN (SELECT slot, pos, avg(r * x) AS g FROM lr_r{t} r "
+            f"JOIN lr_x x ON x.id = r.id GROUP BY slot, pos) g ON g.slot = w.slot AND g.pos = w.pos", "")
+    parts["lr_fitted"] = (
+        f"SELECT slot, id, train, y, CASE WHEN z > 0 THEN 1 ELSE 0 END AS hit FROM (SELECT l.slot, l.id, train, any_value(y) AS y, "
+        f"sum(w * x) AS z FROM lr_labels l JOIN lr_w{steps} w ON w.slot = l.slot JOIN lr_x x ON x.id = l.id AND x.pos = w.pos "
+        f"GROUP BY l.slot, l.id, train)", "")
+    return parts
+
+
+def _learned(needed: str, points: str, labels: str, select: str) -> str:
+    """Parts that the points need, then the fit, each computed once."""
+    head = _with(needed, "SELECT 1")
+    head = head[:head.rindex("SELECT 1")].rstrip()
+    fit = ", ".join(f"{name} AS MATERIALIZED ({body})" for name, (body, _) in _fitted(points, labels).items())
+    return f"{head}, {fit} {select}"
+
+
+_AREA_POINTS = "SELECT v.id, v.embedding AS features FROM vectors v WHERE v.id IN (SELECT eid FROM areas)"
+_AREA_LABELS = (
+    "SELECT v.id, i.areaIndex AS slot, CAST(max(CASE WHEN a.area = i.area THEN 1 ELSE 0 END) AS DOUBLE) AS y "
+    "FROM vectors v JOIN areas a ON a.eid = v.id, area_index i {} GROUP BY v.id, i.areaIndex")
+_FIRST_AREA = _AREA_LABELS.format("WHERE i.areaIndex = 0")
+_HITS = "count(*) FILTER (y = hit)"
+ORACLES["area_lr_accuracy"] = _learned("areas area_index vectors", _AREA_POINTS, _FIRST_AREA, (
+    f"SELECT 0 AS areaIndex, {_HITS} AS fitcount, count(*) AS totalcount FROM lr_fitted WHERE NOT train"))
+ORACLES["all_areas_lr"] = _learned("areas area_index vectors", _AREA_POINTS, _AREA_LABELS.format(""), (
+    f"SELECT i.area AS label, fitcount, totalcount, {r6('100 * fitcount / totalcount', 'accuracy')} FROM (SELECT slot, "
+    f"{_HITS} AS fitcount, count(*) AS totalcount FROM lr_fitted WHERE NOT train GROUP BY slot) f "
+    "JOIN area_index i ON i.areaIndex = f.slot"))
+ORACLES["area_lr_evaluation"] = _learned("areas area_index vectors", _AREA_POINTS, _FIRST_AREA, (
+    "SELECT set, cases, positives, predicted_positives, true_positives, true_negatives, negatives, predicted_negatives, "
+    f"false_positives, false_negatives, {r6('(true_positives + true_negatives) / cases', 'accuracy')}, "
+    f"{r6('positives / cases', 'prevalence')}, {r6('true_positives / nullif(positives, 0)', 'recall')}, "
+    f"{r6('true_negatives / nullif(negatives, 0)', 'specificity')}, {r6('true_positives / nullif(predicted_positives, 0)', 'ppv')}, "
+    f"{r6('true_negatives / nullif(predicted_negatives, 0)', 'npv')} FROM ("
+    "SELECT *, cases - positives AS negatives, cases - predicted_positives AS predicted_negatives, "
+    "predicted_positives - true_positives AS false_positives, cases - predicted_positives - true_negatives AS false_negatives "
+    "FROM (SELECT CASE WHEN train THEN 'training' ELSE 'testing' END AS set, count(*) AS cases, "
+    "count(*) FILTER (y = 1) AS positives, count(*) FILTER (hit = 1) AS predicted_positives, "
+    "count(*) FILTER (y = 1 AND hit = 1) AS true_positives, count(*) FILTER (y = 0 AND hit = 0) AS true_negatives "
+    "FROM lr_fitted GROUP BY train))"))
+# Fitted on the listed journals; the papers of the areas in other journals are judged by the same weights.
+ORACLES["journal_one_vs_others"] = _learned(
+    "areas vectors papers",
+    f"SELECT v.id, v.embedding AS features FROM vectors v JOIN papers p ON p.eid = v.id WHERE p.issn IN {JOURNALS}",
+    "SELECT p.eid AS id, 0 AS slot, CAST(CASE WHEN p.issn = 'src1' THEN 1 ELSE 0 END AS DOUBLE) AS y "
+    f"FROM papers p JOIN vectors v ON v.id = p.eid WHERE p.issn IN {JOURNALS}",
+    f"SELECT (SELECT {_HITS} FROM lr_fitted WHERE NOT train) AS fitcount, "
+    "(SELECT count(*) FROM lr_fitted WHERE NOT train) AS totalcount, "
+    "count(*) FILTER (z <= 0) AS complement_fitcount, count(*) AS complement_totalcount FROM ("
+    "SELECT o.id, o.n, sum(w.w * CASE WHEN w.pos = 0 THEN 1 ELSE (v.embedding[w.pos] - c.m) / CASE WHEN c.s > 0 THEN c.s ELSE 1 END END) AS z "
+    "FROM (SELECT a.eid AS id, row_number() OVER (ORDER BY a.eid, a.area) AS n FROM areas a "
+    f"JOIN papers p ON p.eid = a.eid WHERE a.area IN {AREAS} AND p.issn NOT IN {JOURNALS}) o "
+    "JOIN vectors v ON v.id = o.id CROSS JOIN lr_w20 w LEFT JOIN lr_scales c ON c.pos = w.pos GROUP BY o.id, o.n)")
