@@ -119,6 +119,48 @@ def pairs_within(
     return pairs.select(*kept, "left", "right", *carry, *[f"{c}_right" for c in right_carry])
 
 
+def pairs_back_in_time(
+    df: DataFrame, key: str, member: str, time: Column, carry: Sequence[str] = (), *,
+    strict: bool, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(left, right, ``carry`` of the left): rows of ``df`` with rows of the same key that are no later, or with
+    ``strict`` earlier. A null key or time meets nothing.
+
+    The rows of a key are sliced by time, and a row goes to the slices before it only, so no pair is formed that the
+    order rules out. Slices above ``block_rows`` and keys above that are dealt into blocks: every group that
+    meets is a block of one slice with a block of all later rows of the key.
+    """
+    rows = checkpointed(df.where(F.col(key).isNotNull()).select(key, F.col(member).alias("_member"), time.alias("_at"), *carry).where(
+        F.col("_at").isNotNull()))
+
+    def blocks(count: Column) -> Column:
+        return F.ceil(count / F.lit(block_rows)).cast("int")
+
+    slices = rows.groupBy(key, "_at").agg(F.count("*").alias("_n"))
+    spans = slices.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_at", blocks(F.col("_n")).alias("_blocks")))).alias("_slices"),
+        blocks(F.sum("_n")).alias("_parts"))
+    known = lookup_join(rows, spans, key, row_bytes=1_000)
+
+    def dealt(parts: Column) -> Column:
+        return F.pmod(F.xxhash64("_member"), parts).cast("int")
+
+    def every(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), parts - 1))
+
+    at = F.col("_at")
+    before = F.filter("_slices", lambda s: s["_at"] < at if strict else s["_at"] <= at)
+    own = F.filter("_slices", lambda s: s["_at"] == at)[0]["_blocks"]
+    left = (
+        known.withColumn("_i", dealt(F.col("_parts"))).withColumn("_slice", F.explode(before))
+        .withColumn("_j", every(F.col("_slice._blocks")))
+        .select(key, "_i", F.col("_slice._at").alias("_s"), "_j", F.col("_member").alias("left"), *carry)
+    )
+    right = known.withColumn("_j", dealt(own)).withColumn("_i", every(F.col("_parts"))).select(
+        key, "_i", F.col("_at").alias("_s"), "_j", F.col("_member").alias("right"))
+    return left.join(right, [key, "_i", "_s", "_j"]).select("left", "right", *carry)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

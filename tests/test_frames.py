@@ -113,3 +113,20 @@ def test_broadcasts_are_measured_in_rows_and_bytes(spark, plan):
         return "hint" in other.join(frames.broadcast_if_small(df, **limits), "key")._jdf.queryExecution().analyzed().toString().lower()
 
     assert hinted() and not hinted(rows=49) and not hinted(size=40_000)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("block_rows", [2_000, 7])
+def test_pairs_back_in_time(spark, strict, block_rows):
+    """One key with most rows, repeated members, null keys, times and parts of times."""
+    given = [("hot" if i % 4 else f"k{i % 9}", i % 100, 2015 + i % 5, None if i % 17 == 0 else i % 12) for i in range(160)]
+    given += [(None, 1, 2015, 1), ("hot", 2, None, 3), ("k1", 3, None, None)]
+    df = spark.createDataFrame(given, "key string, member int, year int, month int")
+    for time, of in ((F.col("year"), lambda r: None if r[2] is None else (r[2],)),
+                     (F.struct("year", "month"), lambda r: tuple(-1 if v is None else v for v in r[2:]))):
+        found = frames.pairs_back_in_time(df, "key", "member", time, ["year"], strict=strict, block_rows=block_rows)
+        wanted = [
+            (a[1], b[1], a[2]) for a in given for b in given if a[0] is not None and a[0] == b[0]
+            and of(a) is not None and of(b) is not None and (of(b) < of(a) if strict else of(b) <= of(a))]
+        key = lambda r: tuple(-1 if v is None else v for v in r)
+        assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(wanted, key=key)
