@@ -8,7 +8,8 @@ the vocabulary follow, are left out of the array, and suffixes are ordered by th
 window can have.
 
 The benchmark is the query side. It is read in blocks of at most about ``BLOCK_BYTES``, each
-broadcast as one index; with more blocks the documents pass through one after the other.
+broadcast as one index. With more blocks the documents are stored once and searched block by block; only the
+matches are kept between blocks, so one index is alive at a time and no plan grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from paperlens.llm.arrow import steps
+from paperlens.llm.store import written
+from paperlens.session import checkpointed
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
@@ -228,10 +231,32 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     )
     size = items.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / block_bytes))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).distinct().collect()
-        docs = _searched(docs, text, sorted((r["item"], r["words"]) for r in rows), window)
-    return docs
+
+    def block(number: int) -> list[tuple[str, str]]:
+        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == number).distinct().collect()
+        return sorted((r["item"], r["words"]) for r in rows)
+
+    if blocks == 1:
+        return _searched(docs, text, block(0), window)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = f"c{names.index(text)}"
+    stored = written(plain.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    matched = ("hit_spans", "item_ids", "longest_match")
+    before = None
+    for number in range(blocks - 1):
+        found = _searched(stored.select("_row", own), own, block(number), window).where(
+            F.size("item_ids") > 0).select("_row", *matched)
+        before = checkpointed((found if before is None else before.unionByName(found)).groupBy("_row").agg(
+            F.flatten(F.collect_list("hit_spans")).alias("hit_spans"),
+            F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
+            F.max("longest_match").alias("longest_match")))
+    kinds = dict(before.dtypes)
+    empty = {c: F.coalesce(c, F.array().cast(kinds[c])) for c in matched[:2]}
+    carried = stored.join(before, "_row", "left").drop("_row").withColumns(
+        {**empty, "longest_match": F.coalesce("longest_match", F.lit(0)), "n_words": F.lit(0).cast("long")})
+    found = _searched(carried, own, block(blocks - 1), window)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *_ADDED)
 
 
 def n_hit(spans: str = "hit_spans"):

@@ -1,10 +1,11 @@
 """License scans: MinHash of overlapping text windows retrieves templates, containment verifies them.
 
 Words are runs of a-z and 0-9 of the lowered text, shingles five words (a text of fewer is one
-shingle). A template of n shingles is looked for in windows of 2n shingles that begin every n, so some
-window holds all of any copy of it. A copy with ``CONTAINMENT`` of the shingles has a Jaccard
-similarity of at least 0.36 to that window; with ``HASHES`` bands of one row they collide with probability
-1 - 0.64 ** 16 = 0.999. A band can only collide if the window holds the shingle that is the template's
+shingle). A template of n shingles is looked for in windows of ``SPAN`` n shingles that begin every n, so a copy
+lies whole in some window if it spans no more than ``SPAN`` - 1 times its length, whatever has been put in between and
+wherever it stands. A copy with ``CONTAINMENT`` of the shingles has a Jaccard similarity of at least
+0.8 / 4.2 = 0.19 to that window; with ``HASHES`` bands of one row they collide with probability
+1 - 0.81 ** 32 = 0.999. A band can only collide if the window holds the shingle that is the template's
 minimum, so documents without any such shingle are passed over at once, which changes no result.
 
 DataFrame functions only.
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperlens.operators.frames import computed_once
 
-SHINGLE, HASHES, CONTAINMENT = 5, 16, 0.8
+SHINGLE, HASHES, CONTAINMENT = 5, 32, 0.8
+# Length of a window in lengths of the template.
+SPAN = 4
 # Templates are compared inside each task, so they are few.
 MAX_TEMPLATES = 200
 
@@ -103,8 +106,9 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str],
 
     start and end are positions in the words of the text: from the first to the last shingle of the
     template in a window that has at least ``CONTAINMENT`` of its different shingles; ordered by license and
-    start, without spans inside wider ones of the same license. Null and empty texts have an empty array. Rows are kept one by one; a
-    column named licenses is replaced.
+    start, without spans inside wider ones of the same license. Null and empty texts have an empty array. A very
+    long text is held as its shingles, and of its windows only those that hold a sign of a template are compared.
+    Rows are kept one by one; a column named licenses is replaced.
     """
     prepared = _prepared(docs.sparkSession, templates)
     kept = [f"`{c}`" for c in docs.columns if c not in (text, "licenses")]
@@ -126,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str],
         size = F.size(template["shingles"])
         cut = F.transform(
             F.sequence(F.lit(0), F.size(own) - 1, size),
-            lambda start: F.struct(start.alias("start"), F.slice(own, start + 1, size * 2).alias("part")),
+            lambda start: F.struct(start.alias("start"), F.slice(own, start + 1, size * SPAN).alias("part")),
         )
         # The template's minima can only be met where its signs are.
         met = F.filter(cut, lambda w: F.arrays_overlap(w["part"], template["signs"]))

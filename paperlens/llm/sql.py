@@ -18,7 +18,7 @@ FROM firsts
 
 def _licenses() -> str:
     """All windows against all templates by containment, without MinHash."""
-    from paperlens.llm.licenses import TEMPLATES
+    from paperlens.llm.licenses import SPAN, TEMPLATES
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
@@ -39,7 +39,7 @@ WITH templates AS (
     SELECT doc_id, name, wanted, own, unnest(range(0, len(own), len(wanted))) AS first
     FROM texts JOIN templates ON list_has_any(own, wanted)
 ), parts AS (
-    SELECT doc_id, name, wanted, first, own[first + 1:first + 2 * len(wanted)] AS part FROM windows
+    SELECT doc_id, name, wanted, first, own[first + 1:first + {SPAN} * len(wanted)] AS part FROM windows
 ), places AS (
     SELECT doc_id, name, first, list_filter(
         list_transform(range(len(part)), lambda i: CASE WHEN list_contains(wanted, part[i + 1]) THEN i END),

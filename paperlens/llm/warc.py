@@ -6,18 +6,21 @@ each block. ``find`` looks keys up: binary search among the first keys of the in
 file's directory, then in one block, each read by range. ``read`` fetches the records by range reads in file order.
 
 Files go to a folder that all executors share, under names of their own per attempt: a task that is
-run again leaves an unused file, and only files of finished tasks are named in what Spark keeps.
+run again leaves an unused file. The folder also holds the captures of finished tasks, as Parquet, and a manifest of the
+index files of finished tasks, so another session opens an archive by its folder and sees no unused file.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,7 +35,10 @@ FILE_BYTES = 256_000_000
 BLOCK_CAPTURES = 256
 # Records of one archive file that are this near are fetched by one read.
 READ_GAP, READ_BYTES = 16_384, 4_000_000
+# Bytes of an archive file that one task of a read starts with.
+RANGE_BYTES = 16_000_000
 DATE = "1970-01-01T00:00:00Z"
+MANIFEST, CAPTURES = "manifest.json", "captures"
 _LEVEL = 3
 
 
@@ -48,26 +54,45 @@ def url_key(url: str | None) -> str:
     return "".join(c if c > " " else f"%{ord(c):02x}" for c in key)
 
 
+def coded(number: str | None) -> str:
+    """A page's number for a line of a header or the index: white space and control characters escaped, null
+    as nothing, the empty text as a bare percent sign."""
+    if number is None:
+        return ""
+    return "".join(c if c > " " and c != "%" else f"%{ord(c):02x}" for c in number) or "%"
+
+
+def decoded(code: str) -> str | None:
+    return None if code == "" else "" if code == "%" else unquote(code)
+
+
+def record_id(number: str | None, digest: str) -> str:
+    """Follows from page and payload, so revisits can name the record they refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{coded(number)} {digest}')}>"
+
+
 def _member(lines: list[str], content: bytes) -> bytes:
     head = "\r\n".join(["WARC/1.0", *lines, f"Content-Length: {len(content)}"]).encode() + b"\r\n\r\n"
     packer = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
     return packer.compress(head) + packer.compress(content + b"\r\n\r\n") + packer.flush()
 
 
-def record(number: str, url: str, payload: bytes, refers_to: str | None, date: str = DATE) -> bytes:
-    """One record as a gzip member: a response, or a revisit of the record ``refers_to``."""
+def record(number: str | None, url: str, payload: bytes, refers_to: str | None, date: str = DATE) -> bytes:
+    """One record as a gzip member: a response, or a revisit of the page ``refers_to`` with the same payload."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    own = record_id(number, digest) if refers_to is None else f"<urn:uuid:{uuid.uuid4()}>"
     lines = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}",
+        f"WARC-Record-ID: {own}", f"WARC-Date: {date}",
         "WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02x}" for c in url),
-        f"WARC-Payload-Digest: {digest}", f"Page-Number: {number}", f"Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: {digest}", f"Page-Number: {coded(number)}", f"Payload-Length: {len(payload)}",
     ]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     if refers_to is None:
         return _member([*lines, "Content-Type: application/http; msgtype=response"], http.encode() + payload)
     profile = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-    return _member([*lines, f"WARC-Profile: {profile}", f"Refers-To-Page: {refers_to}",
+    return _member([*lines, f"WARC-Profile: {profile}", f"WARC-Refers-To: {record_id(refers_to, digest)}",
+                    f"Refers-To-Page: {coded(refers_to)}",
                     "Content-Type: application/http; msgtype=response"], http.encode())
 
 
@@ -115,11 +140,24 @@ class _Files:
 
 @dataclass
 class Archive:
-    """A written folder: its captures, and per index file the first key and the place of its directory."""
+    """A written folder: its captures, per index file the first key and the place of its directory, and its bytes."""
 
     folder: str
     captures: DataFrame
     index: list[tuple[str, str, int, int]]
+    size: int
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> "Archive":
+        """The archive that ``write`` has left in a folder, in whatever session."""
+        system, path = _opened(folder)
+        with system.open_input_file(f"{path}/{MANIFEST}") as file:
+            known = json.loads(file.read())
+        captures = spark.read.schema(_CAPTURE).parquet(f"{folder}/{CAPTURES}")
+        return cls(folder, captures, [tuple(row) for row in known["index"]], known["size"])
+
+
+_CAPTURE = "url_key string, number string, file string, offset long, length long"
 
 
 def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url",
@@ -129,7 +167,9 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     Payloads are the html in UTF-8, null counting as empty. Of equal payloads of ``REVISIT_BYTES`` or
     more the rows with the largest ``key`` are responses, the others revisits of it; a null key
     is smaller than any, and where all are null all rows are responses. Repeated rows are records of their
-    own. A null url counts as empty. ``folder`` is a new folder in that of ``spark.checkpoint.dir`` by default.
+    own. A null url counts as empty. Keys of any type are kept as text, with white space and control characters
+    escaped in the files; a null key is another than the empty text. A very long html is one record, held
+    whole by one task. ``folder`` is a new folder in that of ``spark.checkpoint.dir`` by default.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark)
@@ -163,7 +203,7 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
                         file.close()
                     name, offset = f"archive-{uuid.uuid4().hex}.warc.gz", 0
                     file = system.open_output_stream(f"{path}/{name}", compression=None)
-                member = record("" if number is None else number, url_, (text or "").encode(), refers)
+                member = record(number, url_, (text or "").encode(), refers)
                 file.write(member)
                 found.append((url_key(url_), number, name, offset, len(member)))
                 offset += len(member)
@@ -174,9 +214,14 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
         if file is not None:
             file.close()
 
-    captures = checkpointed(rows.mapInArrow(
-        store, "url_key string, number string, file string, offset long, length long"))
-    return Archive(folder, captures, _write_index(captures, folder))
+    rows.mapInArrow(store, _CAPTURE).write.parquet(f"{folder}/{CAPTURES}")
+    captures = spark.read.schema(_CAPTURE).parquet(f"{folder}/{CAPTURES}")
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    known = {"index": _write_index(captures, folder), "size": size}
+    # Last, so a folder without a manifest is one that has not been finished.
+    with system.open_output_stream(f"{path}/{MANIFEST}", compression=None) as file:
+        file.write(json.dumps(known).encode())
+    return Archive.open(spark, folder)
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -205,7 +250,7 @@ def _write_index(captures: DataFrame, folder: str) -> list[tuple[str, str, int,
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("url_key", "number", "file", "offset", "length")]
             for key, number, *place in zip(*columns, strict=True):
-                held.append((key, "" if number is None else number, *place))
+                held.append((key, coded(number), *place))
                 if len(held) >= BLOCK_CAPTURES:
                     block()
         block()
@@ -288,7 +333,7 @@ def find(archive: Archive, wanted: DataFrame, url: str = "url") -> DataFrame:
 
     def table(rows: list[list[str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] or None for r in rows], pa.string()),
+            pa.array([r[0] for r in rows], pa.string()), pa.array([decoded(r[1]) for r in rows], pa.string()),
             pa.array([r[2] for r in rows], pa.string()), pa.array([int(r[3]) for r in rows], pa.int64()),
             pa.array([int(r[4]) for r in rows], pa.int64())], ["url_key", "number", "file", "offset", "length"])
 
@@ -300,7 +345,8 @@ def find(archive: Archive, wanted: DataFrame, url: str = "url") -> DataFrame:
 
 def read(archive: Archive, found: DataFrame, payloads: bool = False) -> DataFrame:
     """The records at the places in ``found``: number, url, payload_bytes, payload_digest (hex SHA-1), record_type,
-    refers_to and, if asked for, payload (null for revisits). Neighbours in a file are fetched together.
+    refers_to and, if asked for, payload (null for revisits). Neighbours in a file are fetched together; tasks
+    are as many as the bytes of the archive need, and each gets ranges of files.
     """
     folder = archive.folder
     kinds = {"number": pa.string(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
@@ -338,9 +384,9 @@ def read(archive: Archive, found: DataFrame, payloads: bool = False) -> DataFram
             response = fields["WARC-Type"] == "response"
             digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
             rows.append((
-                fields["Page-Number"] or None, fields["WARC-Target-URI"],
+                decoded(fields["Page-Number"]), fields["WARC-Target-URI"],
                 len(payload) if response else int(fields["Payload-Length"]), digest, fields["WARC-Type"],
-                fields.get("Refers-To-Page"), payload if response else None))
+                decoded(fields.get("Refers-To-Page", "")), payload if response else None))
             size += len(payload) if payloads else 0
             if len(rows) >= 2_000 or size > 16_000_000:
                 yield batch_of()
@@ -348,5 +394,7 @@ def read(archive: Archive, found: DataFrame, payloads: bool = False) -> DataFram
         yield batch_of()
 
     schema = ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'binary' if n == 'payload' else 'string'}" for n in names)
-    ordered = found.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    tasks = max(found.sparkSession.sparkContext.defaultParallelism, -(-archive.size // RANGE_BYTES))
+    part = F.expr(f"offset div {RANGE_BYTES}")
+    ordered = found.select("file", "offset", "length").repartition(tasks, "file", part).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(load, schema)

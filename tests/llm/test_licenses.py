@@ -18,7 +18,7 @@ def brute(text, templates=licenses.TEMPLATES):
     for name, wording in templates:
         wanted = list(dict.fromkeys(shingles(wording)))
         for start in range(0, len(own), len(wanted)):
-            window = own[start:start + 2 * len(wanted)]
+            window = own[start:start + licenses.SPAN * len(wanted)]
             if len(set(window) & set(wanted)) >= 0.8 * len(wanted):
                 places = [start + i for i, s in enumerate(window) if s in set(wanted)]
                 found.add((name, places[0], places[-1] + 5))
@@ -50,6 +50,25 @@ def test_long_templates_and_changed_words(spark):
     assert found == {1: ["MIT"], 2: ["MIT"], 3: [], 4: ["MIT"]}
 
 
+def test_copies_with_words_put_in_are_found_wherever_they_stand(spark):
+    """Against all positions: every text that holds 80 % of a template within three of its lengths."""
+    wording = max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len).split()
+    length = len(set(shingles(" ".join(wording))))
+    rows = []
+    for gap in (0, 10, 34, 51, 86, 150, 2 * length - 20):
+        for place in range(16):
+            at = place * 23 + 5
+            cut = len(wording) // 2 if place % 2 else len(wording) // 5
+            words = [f"a{i}" for i in range(at)] + wording[:cut] + [f"b{i}" for i in range(gap)] + wording[cut:]
+            rows.append((len(rows), " ".join(words + [f"c{i}" for i in range(300 - at)])))
+    for n, text in rows:
+        own, wanted = shingles(text), set(shingles(" ".join(wording)))
+        near = max(len(set(own[s:s + 3 * length]) & wanted) for s in range(len(own)))
+        assert near >= 0.8 * len(wanted)
+    found = {r["id"]: [m["license"] for m in r["licenses"]] for r in licenses.scan(spark.createDataFrame(rows, "id int, text string")).collect()}
+    assert all("MIT" in names for names in found.values()) and len(found) == 7 * 16
+
+
 def test_plan_has_no_python(documents, plan):
     assert "Python" not in plan(licenses.scan(documents)) and "Arrow" not in plan(licenses.scan(documents))
 

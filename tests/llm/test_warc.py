@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -43,6 +44,42 @@ def test_all_records_come_back(spark, monkeypatch, captures):
     assert bytes(payloads["ümlaut.example/ä"]).decode() == "ä" * 2_000
 
 
+def test_keys_with_any_characters(spark, tmp_path):
+    """Tabs, line breaks, percent signs and the empty text in keys, read back by another handle of the folder."""
+    rows = [("a\tb", "http://a/1", BIG), ("line\r\nWARC-Type: x", "http://a/2", BIG + "x"), ("", "http://a/3", "y" * 2_000),
+            (None, "http://a/4", "y" * 2_000), ("%", "http://a/5", "z"), ("%25 é\n", "http://a/5", BIG), ("  ", "http://a/6", "z")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    warc.write(pages, f"file://{tmp_path}/new")
+    (tmp_path / "new" / "archive-unused.warc.gz").write_bytes(b"left by a task that was run again")
+    archive = warc.Archive.open(spark, f"file://{tmp_path}/new")
+    assert got(warc.read(archive, warc.find(archive, pages))) == wanted(rows)
+    assert sorted(repr(r["number"]) for r in warc.find(archive, pages).collect()) == sorted(repr(r[0]) for r in rows)
+    assert archive.captures.count() == len(rows)
+
+
+def test_revisits_name_the_record_they_refer_to(spark, tmp_path):
+    warc.write(spark.createDataFrame(ROWS, SCHEMA), f"file://{tmp_path}/new")
+    files = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path, "new").glob("*.warc.gz")).decode()
+    ids = dict.fromkeys(re.findall("WARC-Record-ID: (.*?)\r\n", files))
+    refers = re.findall("WARC-Refers-To: (.*?)\r\n", files)
+    assert len(refers) == sum(n for r, n in wanted(ROWS).items() if r[3] == "revisit") > 0 and set(refers) <= set(ids)
+
+
+def test_a_very_long_page(spark):
+    rows = [(1, "http://a", "<p>" + "x y" * 4_000_000), (2, "http://a", "<p>" + "x y" * 4_000_000), (3, "http://a", "z")]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    archive = warc.write(pages)
+    assert got(warc.read(archive, warc.find(archive, pages))) == wanted(rows)
+
+
+def test_reads_use_as_many_tasks_as_the_bytes_need(spark, plan, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 100)
+    archive = warc.write(spark.createDataFrame(ROWS, SCHEMA))
+    found = warc.find(archive, spark.createDataFrame(ROWS, SCHEMA))
+    text = plan(warc.read(archive, found))
+    assert f", {-(-archive.size // 100)}), REPARTITION_BY_NUM" in text
+
+
 def test_lookup_of_single_urls(spark):
     pages = spark.createDataFrame(ROWS, SCHEMA)
     archive = warc.write(pages)
