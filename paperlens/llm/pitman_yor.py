@@ -1,20 +1,22 @@
 """Scores of texts under a hierarchical Pitman-Yor model of words after words.
 
-Each word that makes up ``1 / CONTEXTS`` of the training tokens or more is a context with a restaurant
-of its own, and so is the start of a text; all share one parent restaurant without context, whose base is
-uniform over the vocabulary and an unknown word. Tokens after other words sit in the parent directly. Seatings
-are drawn by Gibbs sampling: a sweep seats the customers of every context and word anew, given the tables of the
-sweep before, and sends one customer per table to the parent. Predictive probabilities are
-averaged over the last sweeps.
+Every preceding word is a context, and so is the start of a text. Each word that makes up ``1 / CONTEXTS`` of the
+training tokens or more has a restaurant of its own; those of all rarer ones, by a hash of the word, share
+``CLASSES`` more. All share one parent restaurant without context, whose base is uniform over the vocabulary
+and an unknown word. Seatings are drawn by Gibbs sampling: a sweep seats the customers of every restaurant and
+word anew, given the tables of the sweep before (a blocked draw, not one customer at a time), and sends one
+customer per table to the parent. Predictive probabilities are averaged over the last sweeps.
 
 All customers of a word are in one part, keyed by a hash of the word, so the parent's seating is local and
-only sums per context travel: they are as many as there are contexts, whatever the corpus. Documents are cut
+only sums per restaurant travel: as many as there are restaurants, whatever the corpus. That is what bounds their
+number; a larger one would mean sums that no longer fit into a broadcast. Documents are cut
 into chunks; a chunk sends each part one message with its words, and gets the answers in the same order.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,9 @@ from paperlens.llm.arrow import steps
 from paperlens.llm.neardup import word_hashes
 from paperlens.session import checkpointed
 
+# Together with the start of texts no more than 2 ** 15, so a context is two bytes in a message.
 CONTEXTS = 1 << 13
+CLASSES = (1 << 15) - CONTEXTS - 2
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
 FOLDS, HELD_OUT = 7, 2
@@ -58,7 +62,7 @@ class Sums:
 class Model:
     """Fixed figures of the corpus and the sums of each sweep so far."""
 
-    contexts: np.ndarray
+    contexts: int
     customers: np.ndarray
     tokens: int
     vocabulary: int
@@ -92,7 +96,8 @@ def table_counts(customers: np.ndarray, weight: np.ndarray, discount: float, ran
 
 @dataclass
 class Part:
-    """Merged customers of one part: words, and per word and context (the last is the parent) their number."""
+    """Merged customers of one part: words, and per word and context their number. A context of the number of
+    restaurants would be the parent itself."""
 
     number: int
     words: np.ndarray
@@ -117,7 +122,7 @@ class Part:
 
         Every sweep is drawn from a seed of its own, so they come out equal whenever they are drawn again.
         """
-        contexts, own = len(model.contexts), self.context < len(model.contexts)
+        contexts, own = model.contexts, self.context < model.contexts
         tables = np.minimum(self.customers, 1)
         parent = self.parent_customers(tables, contexts)
         parent_tables = np.minimum(parent, 1)
@@ -135,13 +140,26 @@ class Part:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes as the largest needs; the first byte says how many."""
+    """Whole numbers in as few bytes as the largest needs, compressed; the first byte says how many."""
     width = next(w for w in (1, 2, 4, 8) if values.max(initial=0) < 1 << (8 * w - 1) or w == 8)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    return bytes([width]) + zlib.compress(values.astype(f"<u{width}").tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
+def _places(values: np.ndarray) -> bytes:
+    """Places in a chunk's list of entries, three bytes each."""
+    wide = values.astype("<u4").view(np.uint8).reshape(-1, 4)
+    if len(wide) and wide[:, 3].any():
+        raise ValueError("more entries in a chunk than three bytes can number")
+    return wide[:, :3].tobytes()
+
+
+def _placed(data: bytes) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return np.concatenate([narrow, np.zeros((len(narrow), 1), np.uint8)], axis=1).reshape(-1).view("<u4")
 
 
 _MESSAGE = {"chunk": pa.string(), "part": pa.int32(), "words": pa.binary(), "entries": pa.binary(),
@@ -158,10 +176,13 @@ def _chunks(docs: DataFrame, id_type: pa.DataType, contexts: np.ndarray, parts:
     columns = {"id": id_type, "held_out": pa.bool_(), "tokens": pa.binary(), **_MESSAGE}
     ordered = np.sort(contexts)
     rank = np.argsort(contexts)
+    restaurants = len(contexts) + CLASSES
 
     def context_of(words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(ordered, words), len(ordered) - 1)
-        return np.where(ordered[at] == words, rank[at], len(contexts))
+        # Other bits of the hash than those that choose a part.
+        shared = len(contexts) + ((words & np.uint64(0xFFFFFFFF)) * np.uint64(CLASSES) >> np.uint64(32)).astype(np.int64)
+        return np.where(ordered[at] == words, rank[at], shared)
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -174,14 +195,14 @@ def _chunks(docs: DataFrame, id_type: pa.DataType, contexts: np.ndarray, parts:
         before = np.concatenate([np.concatenate([[_START], t[:-1]]) for _, _, t in held])
         train = np.repeat([not out for _, out, _ in held], lengths)
         words, word = np.unique(tokens, return_inverse=True)
-        keys, entry = np.unique(word * (len(contexts) + 1) + context_of(before), return_inverse=True)
+        keys, entry = np.unique(word * (restaurants + 1) + context_of(before), return_inverse=True)
         counts = np.bincount(entry, train, len(keys)).astype(np.int64)
-        of_word, context = np.divmod(keys, len(contexts) + 1)
+        of_word, context = np.divmod(keys, restaurants + 1)
         per_word = np.bincount(of_word, minlength=len(words))
         part = ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         rows, size, at = [], 0, 0
         for (number, out, own) in held:
-            rows.append({"id": number, "held_out": out, "chunk": chunk, "tokens": entry[at:at + len(own)].astype("<u4").tobytes()})
+            rows.append({"id": number, "held_out": out, "chunk": chunk, "tokens": _places(entry[at:at + len(own)])})
             at += len(own)
             size += len(own)
             if size > 2_000_000:
@@ -255,7 +276,7 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 
 def _summed(messages: DataFrame, vector_of: Callable[[int, list[dict]], np.ndarray], length: int) -> np.ndarray:
-    """Sum over all parts of one vector per part."""
+    """Sum over all parts of one vector of whole numbers per part."""
     blocks = -(-length // _BLOCK)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,20 +284,21 @@ def _summed(messages: DataFrame, vector_of: Callable[[int, list[dict]], np.ndarr
         for number, rows in _by_part(batches):
             total[:length] += vector_of(number, rows)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(blocks), pa.int32()), pa.array([b.tobytes() for b in np.split(total, blocks)], pa.binary())],
+            [pa.array(range(blocks), pa.int32()), pa.array([_packed(b.astype(np.int64)) for b in np.split(total, blocks)], pa.binary())],
             ["block", "sums"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BLOCK)
         for batch in batches:
             for sums in batch.column("sums").to_pylist():
-                total += np.frombuffer(sums)
+                total += _unpacked(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(total.astype(np.int64))], pa.binary())], ["block", "sums"])
 
     schema = "block int, sums binary"
     rows = messages.mapInArrow(each, schema).groupBy("block").applyInArrow(add, schema).collect()
-    return np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["block"])])[:length]
+    found = {r["block"]: _unpacked(r["sums"]) for r in rows}
+    return np.concatenate([found.get(b, np.zeros(_BLOCK)) for b in range(blocks)])[:length].astype(float)
 
 
 def _contexts(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -320,9 +342,8 @@ def _contexts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.append(np.array(words, np.int64).view(np.uint64), _START), total
 
 
-def _fitted(messages: DataFrame, contexts: np.ndarray) -> Model:
-    """The seating's sums of every sweep, and discounts from the numbers of words seen once and twice."""
-    k = len(contexts)
+def _fitted(messages: DataFrame, k: int) -> Model:
+    """The seating's sums of every sweep in ``k`` restaurants, and discounts from the numbers of words seen once and twice."""
 
     def first(number: int, rows: list[dict]) -> np.ndarray:
         part, *_ = _merged(number, rows, k)
@@ -341,7 +362,7 @@ def _fitted(messages: DataFrame, contexts: np.ndarray) -> Model:
     def discount(n1: float, n2: float) -> float:
         return float(min(0.95, max(0.05, n1 / max(1.0, n1 + 2 * n2))))
 
-    model = Model(contexts, found[:k], int(tokens), int(vocabulary), discount(once, twice),
+    model = Model(k, found[:k], int(tokens), int(vocabulary), discount(once, twice),
                   discount(parent_once, parent_twice), [Sums(found[k:2 * k], parent, vocabulary)])
 
     for _ in range(BURN_IN + SAMPLES):
@@ -366,7 +387,7 @@ def _answers(messages: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _by_part(batches):
             model = shared.value
-            k = len(model.contexts)
+            k = model.contexts
             part, word, entry, places = _merged(number, rows, k)
             known = np.bincount(part.word, part.customers, len(part.words))
             own = part.context < k
@@ -412,8 +433,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     chunks = checkpointed(_chunks(rows, id_type, contexts, parts))
     messages = checkpointed(
         chunks.where("part is not null").select(*_MESSAGE)
-        .repartition(parts, "part").sortWithinPartitions("part", "chunk"))
-    model = _fitted(messages, contexts)
+        .repartitionById(parts, F.col("part")).sortWithinPartitions("part", "chunk"))
+    model = _fitted(messages, len(contexts) + CLASSES)
     answers = _answers(messages, model)
     train_tokens, vocabulary = model.tokens, model.vocabulary
     columns = {"id": id_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
@@ -428,7 +449,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             scores = np.concatenate([np.frombuffer(r["scores"], "<f4") for r in received]).astype(np.float64)
             base = np.log10((counts + 1) / (train_tokens + vocabulary + 1))
         for data in documents.column("tokens").to_pylist():
-            entries = np.frombuffer(data, "<u4")
+            entries = _placed(data)
             out.append((len(entries), int((counts[entries] > 0).sum()), train_tokens,
                         float(base[entries].sum()), float(scores[entries].sum())))
         made = [pa.array([r[at] for r in out], kind) for at, kind in enumerate(list(columns.values())[2:])]

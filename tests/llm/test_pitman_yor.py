@@ -56,6 +56,80 @@ def test_words_follow_their_context(spark):
     assert found[1_000] > found[1_001] + 3
 
 
+def test_rare_words_are_contexts(spark, monkeypatch):
+    """No word is frequent enough for a restaurant of its own; the words that follow rare ones are still known."""
+    monkeypatch.setattr(pitman_yor, "CONTEXTS", 2)
+    rng = np.random.default_rng(3)
+    after = {f"u{i}": f"v{rng.integers(0, 500)}" for i in range(500)}
+    texts = [" ".join(f"{u} {after[u]}" for u in rng.choice(list(after), 30)) for _ in range(150)]
+    some = list(after)[:12]
+    right = " ".join(f"{u} {after[u]}" for u in some)
+    wrong = " ".join(f"{u} {after[w]}" for u, w in zip(some, some[1:] + some[:1]))
+    docs = spark.createDataFrame([*enumerate(texts), (1_000, right), (1_001, wrong)], "doc_id long, text string")
+    contexts, _ = pitman_yor._contexts(docs.selectExpr("text", "false AS held_out"))
+    assert len(contexts) == 1  # the start of texts
+    found = {r["doc_id"]: r for r in pitman_yor.score(docs).collect()}
+    assert found[1_000]["held_out"] is False or found[1_001]["held_out"] is False
+    assert found[1_000]["score"] > found[1_001]["score"] + 8
+    assert abs(found[1_000]["base_score"] - found[1_001]["base_score"]) < 1e-6
+
+
+def brute_score(part, model, samples, text_entries):
+    """log10 probability of (word, context) pairs, from the seating of each sweep."""
+    total = 0.0
+    for word, context in text_entries:
+        mean = 0.0
+        for sweep, (tables, parent, parent_tables) in samples:
+            sums = model.sums[sweep]
+            base = (1 + model.parent_discount * sums.parent_tables) / (model.vocabulary + 1)
+            at = np.flatnonzero(part.words == word)
+            c_p, t_p = (parent[at[0]], parent_tables[at[0]]) if len(at) else (0, 0)
+            below = (c_p - model.parent_discount * t_p + base) / (1 + sums.parent_customers)
+            here = np.flatnonzero((part.word == (at[0] if len(at) else -1)) & (part.context == context))
+            c, t = (part.customers[here[0]], tables[here[0]]) if len(here) else (0, 0)
+            mean += (c - model.discount * t + (1 + model.discount * sums.tables[context]) * below) / (1 + model.customers[context])
+        total += math.log10(mean / len(samples))
+    return total
+
+
+def test_scores_are_those_of_the_seating(spark, monkeypatch):
+    """One part: its seatings are drawn again from their seeds, and every text is scored token by token."""
+    kept = {}
+    answers = pitman_yor._answers
+    monkeypatch.setattr(pitman_yor, "_answers", lambda messages, model: kept.update(m=messages, model=model) or answers(messages, model))
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(v)}" for v in rng.zipf(1.4, 30) % 60) for _ in range(60)] + [None, "new words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs).collect()}
+    model, contexts = kept["model"], pitman_yor._contexts(docs.selectExpr(
+        "text", "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2 AS held_out"))[0]
+    parts = {}
+    for row in kept["m"].collect():
+        parts.setdefault(row["part"], []).append(row.asDict())
+    merged = {n: pitman_yor._merged(n, rows, model.contexts)[0] for n, rows in parts.items()}
+    drawn = {n: [(s, t) for s, t in enumerate(p.sweeps(model)) if pitman_yor.BURN_IN < s < len(model.sums)] for n, p in merged.items()}
+    ranks = {int(h): i for i, h in enumerate(contexts)}
+    arrays = list(pitman_yor._tokens(pitman_yor.pa.array([t for t in texts])))
+    for at, own in enumerate(arrays):
+        wanted = 0.0
+        for before, word in zip(np.concatenate([[pitman_yor._START], own[:-1]]), own):
+            shared = len(contexts) + ((int(before) & 0xFFFFFFFF) * pitman_yor.CLASSES >> 32)
+            n = (int(word) >> 32) * 8 >> 32
+            wanted += brute_score(merged[n], model, drawn[n], [(word, ranks.get(int(before), shared))])
+        assert found[at] == pytest.approx(wanted, rel=1e-4)
+
+
+def test_every_known_predecessor_is_a_context(spark):
+    """No token of the given documents is scored by the parent alone."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        pitman_yor.F.col("doc_id").alias("_id"), "text", pitman_yor.F.lit(False).alias("held_out"))
+    contexts, tokens = pitman_yor._contexts(documents)
+    chunks = pitman_yor._chunks(documents, pitman_yor.pa.int64(), contexts, 8).where("part is not null").collect()
+    counts = [(pitman_yor._unpacked(r["contexts"]), pitman_yor._unpacked(r["counts"])) for r in chunks]
+    assert sum(int(n.sum()) for _, n in counts) == tokens
+    assert all((c < len(contexts) + pitman_yor.CLASSES).all() for c, _ in counts)
+
+
 def test_parts_and_chunks_change_no_count(spark, monkeypatch):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     monkeypatch.setattr(pitman_yor, "PART_TOKENS", 5_000)
@@ -75,7 +149,7 @@ def test_probabilities_sum_to_one(spark):
     customers = rng.integers(1, 30, len(keys))
     part = pitman_yor.Part(0, seen, word, context, customers)
     by_context = np.bincount(context, customers, k + 1)[:k]
-    model = pitman_yor.Model(np.arange(k), by_context, int(customers.sum()), len(seen), 0.6, 0.4, [])
+    model = pitman_yor.Model(k, by_context, int(customers.sum()), len(seen), 0.6, 0.4, [])
     for _ in range(3):
         *_, (tables, parent, parent_tables) = part.sweeps(model)
         own = context < k
