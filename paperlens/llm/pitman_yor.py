@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from paperlens.llm.arrow import steps
 from paperlens.llm.neardup import word_hashes
+from paperlens.llm.store import opened
 from paperlens.session import checkpointed
 
 # Together with the start of texts no more than 2 ** 15, so a context is two bytes in a message.
@@ -117,26 +118,68 @@ class Part:
         sent = np.where(self.context == contexts, self.customers, tables)
         return np.bincount(self.word, sent, len(self.words))
 
-    def sweeps(self, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per sweep the tables, and the parent's customers and tables; one more than ``model`` has sums for.
-
-        Every sweep is drawn from a seed of its own, so they come out equal whenever they are drawn again.
-        """
-        contexts, own = model.contexts, self.context < model.contexts
+    def start(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One table for every word in a restaurant."""
         tables = np.minimum(self.customers, 1)
-        parent = self.parent_customers(tables, contexts)
-        parent_tables = np.minimum(parent, 1)
-        yield tables, parent, parent_tables
-        for sweep, sums in enumerate(model.sums):
-            random = np.random.default_rng([11, self.number, sweep])
-            probability = self.parent_probability(model, sweep, parent, parent_tables)
-            weight = (STRENGTH + model.discount * sums.tables[self.context[own]]) * probability[self.word[own]]
-            tables = np.zeros_like(self.customers)
-            tables[own] = table_counts(self.customers[own], weight, model.discount, random)
-            parent = self.parent_customers(tables, contexts)
-            weight = np.full(len(parent), (STRENGTH + model.parent_discount * sums.parent_tables) / (model.vocabulary + 1))
-            parent_tables = table_counts(parent, weight, model.parent_discount, random)
-            yield tables, parent, parent_tables
+        parent = self.parent_customers(tables, model.contexts)
+        return tables, parent, np.minimum(parent, 1)
+
+    def draw(self, model: Model, sweep: int, parent: np.ndarray, parent_tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tables, and the parent's customers and tables, drawn given those of the parent before and the sums of
+        ``sweep``. Every sweep is drawn from a seed of its own, so it comes out equal whenever it is drawn again."""
+        sums, own = model.sums[sweep], self.context < model.contexts
+        random = np.random.default_rng([11, self.number, sweep])
+        probability = self.parent_probability(model, sweep, parent, parent_tables)
+        weight = (STRENGTH + model.discount * sums.tables[self.context[own]]) * probability[self.word[own]]
+        tables = np.zeros_like(self.customers)
+        tables[own] = table_counts(self.customers[own], weight, model.discount, random)
+        parent = self.parent_customers(tables, model.contexts)
+        weight = np.full(len(parent), (STRENGTH + model.parent_discount * sums.parent_tables) / (model.vocabulary + 1))
+        return tables, parent, table_counts(parent, weight, model.parent_discount, random)
+
+    def sweeps(self, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per sweep the tables, and the parent's customers and tables; one more than ``model`` has sums for."""
+        state = self.start(model)
+        yield state
+        for sweep in range(len(model.sums)):
+            state = self.draw(model, sweep, *state[1:])
+            yield state
+
+
+class Seats:
+    """The parent's customers and tables of a part after a sweep, in a file of the shared folder, so that the next
+    sweep need not draw all before it again. Without the file, it does: the draws are the same."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def make(self) -> "Seats":
+        system, path = opened(self.folder)
+        system.create_dir(path, recursive=True)
+        return self
+
+    def _file(self, number: int, sweep: int):
+        system, path = opened(self.folder)
+        return system, f"{path}/part-{number}-{sweep}"
+
+    def put(self, number: int, sweep: int, parent: np.ndarray, parent_tables: np.ndarray) -> None:
+        system, path = self._file(number, sweep)
+        first = _packed(parent)
+        with system.open_output_stream(path, compression=None) as file:
+            file.write(len(first).to_bytes(8, "little") + first + _packed(parent_tables))
+
+    def after(self, part: Part, model: Model, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        """The state after the sweep of that number; 0 is the start."""
+        if sweep == 0:
+            return part.start(model)[1:]
+        system, path = self._file(part.number, sweep)
+        try:
+            with system.open_input_file(path) as file:
+                data = file.read()
+        except FileNotFoundError:
+            return part.draw(model, sweep - 1, *self.after(part, model, sweep - 1))[1:]
+        size = int.from_bytes(data[:8], "little")
+        return _unpacked(data[8:8 + size]), _unpacked(data[8 + size:])
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -342,7 +385,7 @@ def _contexts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.append(np.array(words, np.int64).view(np.uint64), _START), total
 
 
-def _fitted(messages: DataFrame, k: int) -> Model:
+def _fitted(messages: DataFrame, k: int, seats: Seats) -> Model:
     """The seating's sums of every sweep in ``k`` restaurants, and discounts from the numbers of words seen once and twice."""
 
     def first(number: int, rows: list[dict]) -> np.ndarray:
@@ -369,8 +412,10 @@ def _fitted(messages: DataFrame, k: int) -> Model:
         shared = messages.sparkSession.sparkContext.broadcast(model)
 
         def swept(number: int, rows: list[dict], shared=shared) -> np.ndarray:
-            part, *_ = _merged(number, rows, k)
-            *_, (tables, customers, parent_tables) = part.sweeps(shared.value)
+            part, model = _merged(number, rows, k)[0], shared.value
+            sweep = len(model.sums) - 1
+            tables, customers, parent_tables = part.draw(model, sweep, *seats.after(part, model, sweep))
+            seats.put(number, sweep + 1, customers, parent_tables)
             own = part.context < k
             return np.concatenate([
                 np.bincount(part.context[own], tables[own], k)[:k], [customers.sum(), parent_tables.sum()]])
@@ -380,7 +425,7 @@ def _fitted(messages: DataFrame, k: int) -> Model:
     return model
 
 
-def _answers(messages: DataFrame, model: Model) -> DataFrame:
+def _answers(messages: DataFrame, model: Model, seats: Seats) -> DataFrame:
     """(chunk, part, counts, scores): for the entries of each message the word's count and log10 probability."""
     shared = messages.sparkSession.sparkContext.broadcast(model)
 
@@ -392,10 +437,8 @@ def _answers(messages: DataFrame, model: Model) -> DataFrame:
             known = np.bincount(part.word, part.customers, len(part.words))
             own = part.context < k
             total = np.zeros(len(part.word))
-            # The sums of the last sweep are in the model, so the sweep one past them is not used.
-            for sweep, (tables, parent, parent_tables) in enumerate(part.sweeps(model)):
-                if sweep <= BURN_IN or sweep >= len(model.sums):
-                    continue
+            for sweep in range(BURN_IN + 1, len(model.sums)):
+                tables, parent, parent_tables = part.draw(model, sweep - 1, *seats.after(part, model, sweep - 1))
                 probability = part.parent_probability(model, sweep, parent, parent_tables)[part.word]
                 context, d = part.context[own], model.discount
                 probability[own] = (
@@ -434,8 +477,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     messages = checkpointed(
         chunks.where("part is not null").select(*_MESSAGE)
         .repartitionById(parts, F.col("part")).sortWithinPartitions("part", "chunk"))
-    model = _fitted(messages, len(contexts) + CLASSES)
-    answers = _answers(messages, model)
+    seats = Seats(f"{docs.sparkSession.sparkContext.getCheckpointDir()}/seats-{uuid.uuid4().hex}").make()
+    model = _fitted(messages, len(contexts) + CLASSES, seats)
+    answers = _answers(messages, model, seats)
     train_tokens, vocabulary = model.tokens, model.vocabulary
     columns = {"id": id_type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(),
                "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}

@@ -1,4 +1,4 @@
-"""Tables written in the shared folder, for steps that read some of their columns or rows again."""
+"""Tables and files written in the shared folder, for steps that read some of their columns or rows again."""
 
 from __future__ import annotations
 
@@ -16,3 +16,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def opened(folder: str):
+    """The file system of a folder, and its path there."""
+    from pyarrow import fs
+
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperlens.llm.arrow import steps
+from paperlens.llm.store import opened
 from paperlens.operators.frames import broadcast_if_small
 from paperlens.session import checkpointed, ensure_checkpoint_dir
 
@@ -113,19 +114,11 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
-def _opened(folder: str):
-    from pyarrow import fs
-
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder.removeprefix("file:")
-    return fs.FileSystem.from_uri(folder)
-
-
 class _Files:
     """A few open files of a folder, read by range."""
 
     def __init__(self, folder: str, most: int = 16) -> None:
-        self.system, self.path = _opened(folder)
+        self.system, self.path = opened(folder)
         self.most, self.open = most, {}
 
     def read(self, name: str, offset: int, length: int) -> bytes:
@@ -150,7 +143,7 @@ class Archive:
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> "Archive":
         """The archive that ``write`` has left in a folder, in whatever session."""
-        system, path = _opened(folder)
+        system, path = opened(folder)
         with system.open_input_file(f"{path}/{MANIFEST}") as file:
             known = json.loads(file.read())
         captures = spark.read.schema(_CAPTURE).parquet(f"{folder}/{CAPTURES}")
@@ -173,7 +166,7 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark)
-    system, path = _opened(folder)
+    system, path = opened(folder)
     system.create_dir(path, recursive=True)
     payload = F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -192,7 +185,7 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        system, path = _opened(folder)
+        system, path = opened(folder)
         file, name, offset = None, "", 0
         for batch in steps(batches, "html"):
             found = []
@@ -232,7 +225,7 @@ def new_folder(spark: SparkSession) -> str:
 def _write_index(captures: DataFrame, folder: str) -> list[tuple[str, str, int, int]]:
     """Sorted index files; one (first key, file, place and length of the directory) per file."""
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _opened(folder)
+        system, path = opened(folder)
         file, name, offset, directory, held = None, f"index-{uuid.uuid4().hex}", 0, [], []
 
         def block() -> None:

@@ -96,7 +96,7 @@ def test_scores_are_those_of_the_seating(spark, monkeypatch):
     """One part: its seatings are drawn again from their seeds, and every text is scored token by token."""
     kept = {}
     answers = pitman_yor._answers
-    monkeypatch.setattr(pitman_yor, "_answers", lambda messages, model: kept.update(m=messages, model=model) or answers(messages, model))
+    monkeypatch.setattr(pitman_yor, "_answers", lambda messages, model, seats: kept.update(m=messages, model=model) or answers(messages, model, seats))
     rng = np.random.default_rng(9)
     texts = [" ".join(f"w{int(v)}" for v in rng.zipf(1.4, 30) % 60) for _ in range(60)] + [None, "new words"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -164,6 +164,23 @@ def test_probabilities_sum_to_one(spark):
         assert ((customers - 0.6 * tables)[mine].sum() / (1 + by_context[u]) + rest) == pytest.approx(1)
 
 
+def test_states_of_files_are_those_drawn_anew(tmp_path):
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, 40 * 4, 90))
+    word, context = np.divmod(keys, 4)
+    seen, word = np.unique(word, return_inverse=True)
+    part = pitman_yor.Part(3, seen, word, context, rng.integers(1, 30, len(keys)))
+    model = pitman_yor.Model(4, np.bincount(context, part.customers, 4), 500, len(seen), 0.6, 0.4, [])
+    seats = pitman_yor.Seats(f"file://{tmp_path}")
+    for sweep in range(4):
+        *_, (tables, parent, parent_tables) = part.sweeps(model)
+        kept = seats.after(part, model, sweep)
+        assert (kept[0] == parent).all() and (kept[1] == parent_tables).all()
+        if sweep % 2:
+            seats.put(3, sweep, parent, parent_tables)
+        model.sums.append(pitman_yor.Sums(np.bincount(context, tables, 4), parent.sum(), parent_tables.sum()))
+
+
 def test_table_counts_follow_the_seating():
     rng = np.random.default_rng(2)
     for customers, weight, discount in ((5, 0.5, 0.5), (300, 2.0, 0.3), (3_000, 1.5, 0.6)):
