@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperlens.functions.vectors import add, dense, divide, scale
@@ -15,9 +16,11 @@ from paperlens.operators import (
     pagerank, papers as pp, percentiles, scope, tokens, trending, vocabulary, wordvectors,
 )
 from paperlens.session import checkpointed, ensure_checkpoint_dir, ship
-from paperlens.sources.catalog import save
+from paperlens.plans.builds import AuthorBuild, CorpusBuild, EmbeddingBuild
+from paperlens.sources import corpus
+from paperlens.sources.catalog import Catalog, copy, save
 from paperlens.sources.corpus import bind_hindex, bind_references
-from paperlens.sources.distributions import distribution_of, ordered_hindex_percentiles
+from paperlens.sources.distributions import distribution_of, hindex_percentiles, ordered_hindex_percentiles
 from workbench.tables import VECTOR_DIMENSION, WORD_DIMENSION, Tables
 
 Query = Callable[[Tables], DataFrame]
@@ -727,3 +730,144 @@ def trending_for_texts(t: Tables) -> DataFrame:
     sent = submissions.withColumnRenamed("target_issn", "issn")
     rows = trending.trending_scores(sent, centroids, reference)
     return rows.select("query_id", "issn", r6("d2_diff"), r6("trending"))
+
+
+# --- sources, sinks and builds: what they store in the shared folder, read back
+
+def _new_folder(t: Tables) -> str:
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/build-{uuid.uuid4().hex}"
+
+
+def _corpus_build(t: Tables) -> tuple[CorpusBuild, str]:
+    """From raw papers as the source stores them, with the column that readers ignore."""
+    folder = _new_folder(t)
+    save(t.full_raw_papers().withColumn("pmid", F.lit("x")), f"{folder}/raw")
+    build = CorpusBuild(t.spark, Catalog(f"{folder}/std"), corpus.read_papers(t.spark, f"{folder}/raw"), f"{folder}/authors")
+    build.run()
+    return build, folder
+
+
+@query
+def corpus_build_content(t: Tables) -> DataFrame:
+    build, _ = _corpus_build(t)
+    return _content(build.catalog.read(t.spark, "papers"))
+
+
+@query
+def corpus_build_authors(t: Tables) -> DataFrame:
+    _, folder = _corpus_build(t)
+    return corpus.read_paper_authors(t.spark, f"{folder}/authors")
+
+
+@query
+def extra_papers_content(t: Tables) -> DataFrame:
+    folder = _new_folder(t)
+    save(t.full_raw_papers(), folder)
+    return _content(pp.extract_content(corpus.read_extra_papers(t.spark, folder), with_dates=False))
+
+
+@query
+def titles_and_abstracts(t: Tables) -> DataFrame:
+    titles = pp.titles(t.papers()).select(F.lit("title").alias("kind"), F.col("title").alias("body"))
+    return titles.union(pp.abstracts(t.papers()).select(F.lit("abstract"), "abstr"))
+
+
+@query
+def first_publications_deduped(t: Tables) -> DataFrame:
+    folder = _new_folder(t)
+    save(t.dated_authors().select("auid", F.col("year").cast("int").alias("year")), folder)
+    return corpus.read_first_publications(t.spark, folder)
+
+
+@query
+def hindex_snapshot_copied(t: Tables) -> DataFrame:
+    """A snapshot is written over an older copy."""
+    folder = _new_folder(t)
+    older, newer = t.raw_hindex_snapshots()
+    copy(older, folder)
+    copy(newer, folder)
+    return corpus.read_hindex(t.spark, folder)
+
+
+def _embedding_build(t: Tables, *steps: str) -> EmbeddingBuild:
+    """Steps of the build over all papers, with the given word vectors in place of trained ones."""
+    catalog = Catalog(_new_folder(t), dimension=WORD_DIMENSION)
+    catalog.save(t.papers(), "papers")
+    build = EmbeddingBuild(t.spark, catalog)
+    for step in steps:
+        if step == "word_vectors":
+            catalog.save(t.word_vectors(), "word_vectors")
+        else:
+            getattr(build, step)()
+    return build
+
+
+@query
+def masked_abstracts_stored_once(t: Tables) -> DataFrame:
+    """The second write is refused and leaves the first."""
+    build = _embedding_build(t)
+    folder = f"{build.catalog.prefix}/masked"
+    build.tokenize_masked(folder)
+    try:
+        build.tokenize_masked(folder)
+    except AnalysisException as refused:
+        if "exist" not in str(refused).lower():
+            raise
+    else:
+        raise AssertionError("an existing folder was replaced")
+    return t.spark.read.parquet(folder).select("id", F.posexplode("terms").alias("pos", "term"))
+
+
+@query
+def embedding_build_vectors(t: Tables) -> DataFrame:
+    build = _embedding_build(t, "tokenize", "vocabulary", "word_vectors", "tfidf", "paper_vectors")
+    return long_form(build.catalog.read(t.spark, "paper_vectors"), "id")
+
+
+@query
+def embedding_build_journals(t: Tables) -> DataFrame:
+    build = _embedding_build(t, "tokenize", "vocabulary", "word_vectors", "tfidf", "paper_vectors", "journal_vectors")
+    return long_form(build.catalog.read(t.spark, "journal_vectors"), "id")
+
+
+@query
+def embedding_build_areas(t: Tables) -> DataFrame:
+    build = _embedding_build(t)
+    build.catalog.save(t.vectors(), "paper_vectors")
+    build.area_encoding()
+    rows = build.catalog.read(t.spark, "area_one_hot").withColumn("flags", F.array_join("ohe", ""))
+    return long_form(rows, "id", "flags", vector="features")
+
+
+def _author_build(t: Tables) -> AuthorBuild:
+    folder = _new_folder(t)
+    save(t.full_raw_papers(), f"{folder}/raw")
+    return AuthorBuild(t.spark, Catalog(f"{folder}/std"), corpus.read_papers(t.spark, f"{folder}/raw"))
+
+
+@query
+def author_build_percentiles(t: Tables) -> DataFrame:
+    build = _author_build(t)
+    paths = [f"{build.catalog.prefix}/snapshot-{i}" for i in (0, 1)]
+    for snapshot, path in zip(t.raw_hindex_snapshots(), paths, strict=True):
+        save(snapshot, path)
+    build.hindex(*paths)
+    build.hindex_percentiles()
+    return hindex_percentiles(t.spark, build.catalog).select("issn", "hindex", r6("ptile"))
+
+
+@query
+def author_build_pairs(t: Tables) -> DataFrame:
+    build = _author_build(t)
+    build.ambiguity()
+    build.coauthor_pairs(f"{build.catalog.prefix}/pairs", ambiguity=4)
+    return t.spark.read.parquet(f"{build.catalog.prefix}/pairs").select("left", "right")
+
+
+@query
+def author_build_pairs_with_papers(t: Tables) -> DataFrame:
+    build = _author_build(t)
+    build.ambiguity()
+    build.coauthors_with_papers(ambiguity=4)
+    return build.catalog.read(t.spark, "coauthors_with_papers").select("eid", "issn", "left", "right")

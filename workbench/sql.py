@@ -599,3 +599,44 @@ ORACLES["journal_one_vs_others"] = _learned(
     "FROM (SELECT a.eid AS id, row_number() OVER (ORDER BY a.eid, a.area) AS n FROM areas a "
     f"JOIN papers p ON p.eid = a.eid WHERE a.area IN {AREAS} AND p.issn NOT IN {JOURNALS}) o "
     "JOIN vectors v ON v.id = o.id CROSS JOIN lr_w20 w LEFT JOIN lr_scales c ON c.pos = w.pos GROUP BY o.id, o.n)")
+
+# --- what builds store, by the rules of their operators
+_RAW_CLEAR = {
+    "raw_clear": (
+        "SELECT eid, issn, auid FROM raw_authors WHERE auid IN ("
+        "SELECT auid FROM raw_authors GROUP BY auid HAVING count(DISTINCT indexed_name) - 1 <= 4)", "raw_authors"),
+}
+_RAW_HINDEX = {
+    "raw_numbers": ("SELECT DISTINCT auid, CAST(substr(auid, 2) AS BIGINT) AS n FROM raw_authors", "raw_authors"),
+    "raw_hindex": ("SELECT auid, CASE WHEN n % 2 = 0 THEN n % 11 ELSE n * 3 % 17 END AS hindex FROM raw_numbers", ""),
+}
+ORACLES |= {
+    "corpus_build_content": ORACLES["clean_content"],
+    "corpus_build_authors": ORACLES["paper_authors_explode"],
+    "extra_papers_content": ORACLES["clean_content_no_dates"],
+    "titles_and_abstracts": _with("papers", (
+        "SELECT 'title' AS kind, title AS body FROM papers UNION ALL SELECT 'abstract', abstr FROM papers")),
+    "first_publications_deduped": _with("dated_authors", "SELECT DISTINCT auid, year FROM dated_authors"),
+    "hindex_snapshot_copied": _with("raw_authors", (
+        "SELECT auid, n % 11 AS hindex FROM raw_numbers WHERE n % 2 = 0"), _RAW_HINDEX),
+    "masked_abstracts_stored_once": _with("", "SELECT id, CAST(pos AS INTEGER) AS pos, term FROM masked_tokens", {
+        "masked": (f"SELECT eid, lower({_masked('abstr')}) AS body FROM papers", "papers"),
+        "masked_tokens": (_tokenized("masked", "eid", "body"), ""),
+    }),
+    "embedding_build_vectors": ORACLES["paper_embedding_weighted_mean"],
+    "embedding_build_journals": _with("text_vectors papers", _long("journal_means", "id", W), {
+        "journal_means": (_mean_vectors(
+            "(SELECT p.issn AS id, v.embedding FROM text_vectors v JOIN papers p ON p.eid = v.id)", "id", W), ""),
+    }),
+    "embedding_build_areas": ORACLES["area_onehot"],
+    "author_build_percentiles": _with("raw_authors", (
+        f"SELECT DISTINCT issn, CAST(hindex AS DOUBLE) AS hindex, {r6('p', 'ptile')} FROM (SELECT a.issn, h.hindex, "
+        "percent_rank() OVER (PARTITION BY a.issn ORDER BY h.hindex) AS p FROM (SELECT DISTINCT issn, auid FROM raw_authors) a "
+        "JOIN raw_hindex h ON h.auid = a.auid)"), _RAW_HINDEX),
+    "author_build_pairs": _with("raw_authors", (
+        'SELECT DISTINCT a.auid AS "left", b.auid AS "right" FROM raw_clear a JOIN raw_clear b ON a.eid = b.eid AND a.auid <> b.auid'),
+        _RAW_CLEAR),
+    "author_build_pairs_with_papers": _with("raw_authors", (
+        'SELECT a.eid, a.issn, a.auid AS "left", b.auid AS "right" FROM raw_clear a JOIN raw_clear b '
+        "ON a.eid = b.eid AND a.auid <> b.auid"), _RAW_CLEAR),
+}

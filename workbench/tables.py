@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperlens.functions.text import tokens
 from paperlens.operators.frames import computed_once
-from paperlens.schemas import AUTHOR, PAPER_SOURCE
+from paperlens.schemas import AUTHOR, PAPER_SOURCE, RAW_PAPER
 
 VECTOR_DIMENSION = 64
 WORD_DIMENSION = 100
@@ -60,6 +60,20 @@ class Tables:
             ]).alias("source"),
         )
 
+    def full_raw_papers(self) -> DataFrame:
+        """``raw_papers`` with all columns of the source, those that are not known null."""
+        partial = self.raw_papers()
+        return partial.select(*[
+            F.col(f.name) if f.name in partial.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_PAPER.fields
+        ])
+
+    def raw_hindex_snapshots(self) -> list[DataFrame]:
+        """(auid, hindex) of the authors of the raw papers; the newer snapshot holds those of even number."""
+        authors = self.raw_papers().select(F.explode("au.auid").alias("auid")).distinct()
+        number = F.substring("auid", 2, 10).cast("long")
+        return [authors.select("auid", (number * 3 % 17).alias("hindex")),
+                authors.where(number % 2 == 0).select("auid", (number % 11).alias("hindex"))]
+
     def papers(self) -> DataFrame:
         """All documents as clean papers."""
         d = F.col("doc_id")
