@@ -30,6 +30,8 @@ WINDOW = 10
 BLOCK_BYTES = 8_000_000
 # Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1_000_000
+# Text that is taken apart into words at a time, each of them an object.
+STEP_BYTES = 4_000_000
 # Words per sort key and bits per word.
 _PER, _BITS = 3, 21
 
@@ -208,7 +210,7 @@ def _searched(docs: DataFrame, text: str, items: list[tuple[str, str]], window:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        yield from map(shard, steps(batches, text, rows=10_000))
+        yield from map(shard, steps(batches, text, rows=10_000, size=STEP_BYTES))
 
     return docs.mapInArrow(run, ", ".join(x for x in (own, _SCHEMA) if x))
 
