@@ -152,3 +152,29 @@ def test_rounds_shuffle_ranks_only(spark, plan, monkeypatch):
         links.unpersist()
     above = text.split("InMemoryTableScan")[0]
     assert above.count("Exchange") == 0 and text.count("ENSURE_REQUIREMENTS") == 1
+
+
+@pytest.mark.parametrize("listed, strict, fits", [(16, False, True), (2, True, True), (2, False, False)])
+def test_originality_shuffles_no_pair(spark, rows, plan, monkeypatch, listed, strict, fits):
+    """Papers that share several authors, rows that repeat with other years, journals and vectors, null authors."""
+    monkeypatch.setattr(originality, "LISTED_AUTHORS", listed)
+    monkeypatch.setattr(originality, "_fits", lambda vectors: fits)
+    given = [(str(i % 9), "J" if i % 4 else None, 2015 + i * 7 % 3, i % 5, None if i % 11 == 0 else f"a{i * i % 6}") for i in range(60)]
+    given += [("x", "J", 2015, None, "a1"), ("x", "J", None, 3, "a2")]
+    authors = spark.createDataFrame(given, "eid string, issn string, year short, month short, auid string")
+    vectors = spark.createDataFrame(
+        [(str(i), [float(i), 1.0]) for i in range(8)] + [("x", [3.0, 3.0]), ("2", [9.0, 9.0])], "id string, embedding array<double>")
+    known = [r for r in given if r[0] != "8" and r[4] is not None and (strict or r[2] is not None)]
+    late = lambda r: (-1 if r[2] is None else r[2], -1 if r[3] is None else r[3]) if strict else r[2]
+    wanted = {(a[0], a[1], b[0]) for a in known for b in known if a[4] == b[4] and (late(b) < late(a) if strict else late(b) <= late(a))}
+    found = originality.earlier_paper_pairs(authors, vectors, strict=strict)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == wanted and len(got) == len(wanted)
+    pairs = originality.originality_pairs(authors, vectors, strict=strict)
+    distances = originality.author_distances(authors, vectors, strict=strict)
+    assert {r[:3] for r in rows(distances)} == wanted and distances.count() == len(wanted)
+    best = originality.originality_distances(pairs).groupBy("eid", "issn", "eid_asc").min("d2")
+    assert rows(best) == rows(distances)
+    if listed == 16 and fits:
+        joins = plan(pairs)
+        assert joins.count("BroadcastHashJoin") >= 2 and "Exchange hashpartitioning(eid" not in joins
