@@ -5,12 +5,11 @@ boilerplate among the others is told by the token streams of pages: the streams
 pages are concatenated, their suffixes are sorted, and runs of ``WINDOW`` tokens or more are found that
 several distinct pages share; blocks that such runs cover go, unique runs stay. On pages with an ``article`` or
 ``main`` element, where pages may quote each other, a run must be on ``ARTICLE_PAGES`` pages and on
-``ARTICLE_SHARE`` of those sorted together, as only what a host puts on its pages is. On other pages runs
+``ARTICLE_SHARE`` of all of the host, as only what a host puts on its pages is. On other pages runs
 count that ``PAGES`` pages share in blocks outside articles.
 
-A host with many pages is sorted in parts, dealt by hash. What most pages share, most pages of each part do. For the
-other rule the parts pass on how many pages hold each run of ``WINDOW`` tokens, and learn of their own runs
-which ones the sums make shared. So no host, and no list of its runs, has to fit into one task.
+A host with many pages is sorted in parts, dealt by hash. The parts pass on how many pages hold a run of ``WINDOW``
+tokens (for the first rule only runs that many of their pages hold), and learn which ones the sums make shared. So no host, and no list of its runs, has to fit into one task.
 """
 
 from __future__ import annotations
@@ -26,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens.llm.arrow import map_texts
-from paperlens.operators.frames import broadcast_if_small, lookup_join
+from paperlens.operators.frames import broadcast_if_small, has_at_most, lookup_join
 from paperlens.session import checkpointed
 
 WINDOW, PAGES, COVERED = 8, 3, 0.8
 ARTICLE_PAGES, ARTICLE_SHARE = 6, 0.5
-# Pages of a host that are sorted together.
-PART_PAGES = 1_000
+# Pages of a host that are sorted together, and the share of them that makes such a part pass a window on.
+PART_PAGES, PART_SHARE = 1_000, 0.25
 
 # Elements by their role in a page.
 _RAW = "script|style|title|noscript|template|iframe|object|svg|math|textarea|select|button|canvas|audio|video"
@@ -275,7 +274,12 @@ def _covered_batch(name: str, rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch
 
 
 def covered_articles(streams: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(host, digest, _covered): of pages with an article what runs cover that most pages of their part share."""
+    """(host, digest, _covered): of pages with an article what runs cover that most pages of their host share.
+
+    A host of several parts sums the counts of its parts. A part passes on windows that ``PART_SHARE`` of its pages hold;
+    what half of all pages share is among them in some part. Where the parts that did not name a window could decide
+    on it, they count it, too.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (name, _), held in _groups(batches, ["host", "part"], ["digest", "tokens", "open"]):
             pages = {digest: (_stream_of(data), open_) for digest, data, open_ in held}
@@ -284,14 +288,62 @@ def covered_articles(streams: DataFrame, sizes: DataFrame) -> DataFrame:
             marks = [(digest, cover(own, wide)) for digest, (own, open_) in pages.items() if len(wide) and not open_]
             yield _covered_batch(name, [(digest, _packed(own)) for digest, own in marks if own.any()])
 
+    known = checkpointed(sizes.where(F.col("pages") >= ARTICLE_PAGES).select("host", "parts", "pages"))
     dealt = lookup_join(
-        streams.where("tokens is not null").select("host", "digest", "tokens", "open"),
-        sizes.where(F.col("pages") >= ARTICLE_PAGES).select("host", "parts"), "host", row_bytes=200)
-    part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
-    return (
-        dealt.select("host", part.alias("part"), "digest", "tokens", "open").repartition("host", "part")
+        streams.where("tokens is not null").select("host", "digest", "tokens", "open"), known, "host", row_bytes=200
+    ).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    whole = (
+        dealt.where("parts = 1").select("host", "part", "digest", "tokens", "open").repartition("host", "part")
         .sortWithinPartitions("host", "part").mapInArrow(work, _COVERED)
     )
+    if has_at_most(known.where("parts > 1"), 0):
+        return whole
+    split = dealt.where("parts > 1")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, _), held in _groups(batches, ["host", "part"], ["digest", "tokens"]):
+            pages = dict(held)
+            hashes, counts = shared_windows([_stream_of(data) for data in pages.values()])
+            some = counts >= PART_SHARE * len(pages)
+            rows = int(some.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * rows, pa.string()), pa.array(hashes[some]), pa.array(counts[some], pa.int64()),
+                 pa.array([len(pages)] * rows, pa.int64())], ["host", "window", "n", "held"])
+
+    counted = split.select("host", "part", "digest", "tokens").repartition("host", "part").sortWithinPartitions(
+        "host", "part").mapInArrow(count, "host string, window long, n long, held long")
+    sums = checkpointed(counted.groupBy("host", "window").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).join(known, "host"))
+    wanted = F.greatest(F.lit(float(ARTICLE_PAGES)), ARTICLE_SHARE * F.col("pages"))
+    at_most = F.col("n") + PART_SHARE * (F.col("pages") - F.col("held"))
+    shared = sums.where(F.col("n") >= wanted).select("host", "window")
+    unsure = sums.where((F.col("n") < wanted) & (at_most >= wanted)).select("host", "window")
+
+    def met(windows: DataFrame):
+        """Parts of the hosts of ``windows`` with these."""
+        told = windows.join(known.select("host", "parts"), "host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = lookup_join(split.select("host", "part", "digest", "tokens", "open"), windows.select("host").distinct(), "host")
+        return rows.groupBy("host", "part").cogroup(told.select("host", "part", "window").groupBy("host", "part"))
+
+    def recount(left: pa.Table, right: pa.Table) -> pa.Table:
+        pages = dict(zip(left["digest"].to_pylist(), left["tokens"].to_pylist(), strict=True))
+        hashes, counts = shared_windows([_stream_of(data) for data in pages.values()])
+        some = np.isin(hashes, right["window"].to_numpy())
+        name = left["host"][0].as_py() if left.num_rows else None
+        return pa.table([pa.array([name] * int(some.sum()), pa.string()), pa.array(hashes[some]), pa.array(counts[some], pa.int64())],
+                        names=["host", "window", "n"])
+
+    def covers(left: pa.Table, right: pa.Table) -> pa.Table:
+        windows = np.sort(right["window"].to_numpy())
+        pages = {digest: data for digest, data, open_ in zip(*(left[c].to_pylist() for c in ("digest", "tokens", "open"))) if not open_}
+        marks = [(digest, cover(_stream_of(data), windows)) for digest, data in pages.items()]
+        name = left["host"][0].as_py() if left.num_rows else None
+        return pa.Table.from_batches([_covered_batch(name, [(digest, _packed(own)) for digest, own in marks if own.any()])])
+
+    if not has_at_most(unsure, 0):
+        again = met(unsure).applyInArrow(recount, "host string, window long, n long")
+        shared = shared.unionByName(again.groupBy("host", "window").agg(F.sum("n").alias("n")).join(known, "host").where(
+            F.col("n") >= wanted).select("host", "window"))
+    return whole.unionByName(met(checkpointed(shared)).applyInArrow(covers, _COVERED))
 
 
 def covered_open_pages(streams: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -127,3 +127,22 @@ def test_edges(spark):
     assert sorted((len(r["text"]) for r in found)) == [0, 0, 1, 1, 1, 999_999]
     assert {r["host"] for r in found} == {"h", None}
     assert pagetext.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("part_pages, part_share", [(1_000, 0.25), (4, 0.25), (4, 0.5)])
+def test_shares_in_articles_are_those_of_the_whole_host(spark, monkeypatch, part_pages, part_share):
+    """Runs of all, just half and just under half of 24 pages, in one part or in six and more."""
+    monkeypatch.setattr(pagetext, "PART_PAGES", part_pages)
+    monkeypatch.setattr(pagetext, "PART_SHARE", part_share)
+    said = [" ".join(f"{w}{k}" for k in range(10)) for w in ("all", "half", "fewer")]
+    rows = []
+    for i in range(24):
+        own = " ".join(f"w{i}x{j}" for j in range(20))
+        held = [said[0]] + ([said[1]] if i % 2 else []) + ([said[2]] if i < 11 else [])
+        rows.append((i, "http://h/%d" % i, "<article>" + "".join(f"<p>{p}</p>" for p in [own, *held]) + "</article>"))
+    texts = {r.page_id: r.text for r in pagetext.main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(24):
+        assert "all0" not in texts[i] and f"w{i}x0" in texts[i]
+        assert "half0" not in texts[i]
+        assert ("fewer0" in texts[i]) == (i < 11)
