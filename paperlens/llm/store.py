@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from paperlens.session import written
 
-from pyspark.sql import DataFrame
-
-from paperlens.session import ensure_checkpoint_dir
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the folder of checkpoints, read again: it cuts lineage as checkpoint() does,
-    is compressed, and is read by column."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+__all__ = ["opened", "written"]
 
 
 def opened(folder: str):

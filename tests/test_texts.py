@@ -143,3 +143,41 @@ def test_word_vectors_do_not_follow_the_cores(spark, tokenized, rows):
         for df in (tokenized.coalesce(1), tokenized.coalesce(1)))
     assert wordvectors.PARTITIONS == 8 and set(one) == set(other) == {"a", "b", "d"}
     assert all(a == pytest.approx(b, abs=1e-2) for w in one for a, b in zip(one[w], other[w], strict=True))
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_counts_of_ids_that_span_batches(spark, batch):
+    """Null ids are one id of ``term_counts``, null terms a term; documents are counted over ids that are not null."""
+    some = [("x", ["a", "b", "a"]), (None, ["a", None]), ("y", []), ("x", ["a", "c"]), (None, ["a"]), ("z", None), ("w", ["b"]), ("x", ["b"])]
+    df = spark.createDataFrame(some * 2, "id string, terms array<string>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        counts = {(r.id, r.term): (r._count, r._total) for r in tokens.term_counts(df).collect()}
+        documents = dict(vocabulary.doc_frequency(df).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert counts == {
+        ("x", "a"): (6, 12), ("x", "b"): (4, 12), ("x", "c"): (2, 12), (None, "a"): (4, 6), (None, None): (2, 6), ("w", "b"): (2, 2)}
+    assert documents == {"a": 1, "b": 2, "c": 1}
+
+
+def test_large_vocabularies_count_tokens_once(spark, tokenized, rows, plan, monkeypatch):
+    """With an idf too large to broadcast, the counts are stored and not formed again for each part of the lookup."""
+    idf = spark.createDataFrame([("a", 2.0), ("b", 5.0)], "token string, weight double")
+    wanted = rows(bow.tf_idf(tokenized, idf))
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", 100)
+    weighted = bow.tf_idf(tokenized, idf)
+    assert rows(weighted) == wanted
+    assert "hashpartitioning(id" not in plan(weighted) and "MapInArrow" not in plan(weighted)
+
+
+def test_rare_vectors_travel_once_for_many_ids(spark, words, rows, plan, monkeypatch):
+    """Rare terms do not make a row with a vector each: they meet their vectors by parts of the ids."""
+    idf = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "token string, weight double")
+    df = spark.createDataFrame([(f"d{i % 50}", ["a", "b", "y", "y"]) for i in range(100)], "id string, terms array<string>")
+    wanted = rows(embeddings.embed_tokens(df, words, idf, dimension=2))
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", 100)
+    got = embeddings.embed_tokens(df, words, idf, dimension=2)
+    assert rows(got) == wanted and len(wanted) == 50
+    assert "FlatMapCoGroupsInArrow" in plan(got)
