@@ -154,6 +154,35 @@ def test_rounds_shuffle_ranks_only(spark, plan, monkeypatch):
     assert above.count("Exchange") == 0 and text.count("ENSURE_REQUIREMENTS") == 1
 
 
+@pytest.mark.parametrize("limits", [{"rounds": 2}, {"tolerance": 0.2}])
+@pytest.mark.parametrize("by", ["papers", "edges"])
+def test_rounds_shuffle_no_links_where_ranks_fit(spark, rows, plan, monkeypatch, by, limits):
+    """Ranks are broadcast to links that stand by what they are summed by; the same ranks come where they do not fit."""
+    listed = [(str(i), f"a{a}") for i in range(40) for a in (i % 7, i * i % 11, i % 7)] + [("1", None), (None, "a1")]
+    authors = spark.createDataFrame(listed, "eid string, auid string")
+    rank = pagerank.pagerank_of_papers if by == "papers" else lambda lists, **kw: pagerank.pagerank_of_edges(
+        coauthors.coauthor_pairs(lists, distinct=False), **kw)
+    plans, store = [], pagerank.checkpointed
+
+    def seen(df):
+        if "rank" in df.columns:
+            plans.append(plan(df))
+        return store(df)
+
+    monkeypatch.setattr(pagerank, "checkpointed", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rows(rank(authors, **limits))
+        wide = [p for p in plans if "InMemoryTableScan" in p]
+        monkeypatch.setattr(pagerank.frames, "BROADCAST_BYTES", 0)
+        assert rows(rank(authors, **limits)) == found and len(found) >= 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert wide and all("BroadcastHashJoin" in p for p in wide)
+    links = "eid" if by == "papers" else "right"
+    assert not any(f"Exchange hashpartitioning({links}" in p.split("InMemoryRelation")[0] for p in wide)
+
+
 @pytest.mark.parametrize("listed, strict, fits", [(16, False, True), (2, True, True), (2, False, False)])
 def test_originality_shuffles_no_pair(spark, rows, plan, monkeypatch, listed, strict, fits):
     """Papers that share several authors, rows that repeat with other years, journals and vectors, null authors."""
