@@ -207,3 +207,15 @@ def test_originality_shuffles_no_pair(spark, rows, plan, monkeypatch, listed, st
     if listed == 16 and fits:
         joins = plan(pairs)
         assert joins.count("BroadcastHashJoin") >= 2 and "Exchange hashpartitioning(eid" not in joins
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_originality_asks_no_function_per_pair_where_papers_have_one_time(spark, rows, plan, strict):
+    given = [(str(i), "J", 2015 + i % 3, i % 5, f"a{a}") for i in range(30) for a in {i % 4, i % 3, 5}]
+    authors = spark.createDataFrame(given, "eid string, issn string, year short, month short, auid string")
+    late = (lambda r: (r[2], r[3])) if strict else (lambda r: r[2])
+    wanted = {(a[0], a[1], b[0]) for a in given for b in given if a[4] == b[4] and (late(b) < late(a) if strict else late(b) <= late(a))}
+    found = originality.earlier_paper_pairs(authors, strict=strict)
+    assert "exists(" not in plan(found)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == wanted and len(got) == len(wanted)
