@@ -21,11 +21,16 @@ SENTENCE_END = r"([.!?])\s+"
 # A run of letters and digits, with inner dots, apostrophes and hyphens, or one other mark.
 TOKEN = r"[\p{L}\p{N}]+(?:[.'-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 
+# Any number starts with one of these. Asked first, it spares trying all of a number at every letter.
+_NUMBER_START = r"(?=[-+\s\d])"
+
 TokenFn = Callable[[Column], Column]
 
 
 def mask(text: Column, masks: Sequence[tuple[str, str]] = NUMERIC_MASKS) -> Column:
     for pattern, tag in masks:
+        if pattern.startswith(_NUMBER):
+            pattern = _NUMBER_START + pattern
         text = F.regexp_replace(text, F.lit(pattern), F.lit(tag))
     return text
 

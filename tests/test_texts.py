@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from paperlens.functions.text import NUMERIC_MASKS, mask
 from paperlens.operators import bow, embeddings, frames, tokens, vocabulary, wordvectors
 
 
@@ -181,3 +182,14 @@ def test_rare_vectors_travel_once_for_many_ids(spark, words, rows, plan, monkeyp
     got = embeddings.embed_tokens(df, words, idf, dimension=2)
     assert rows(got) == wanted and len(wanted) == 50
     assert "FlatMapCoGroupsInArrow" in plan(got)
+
+
+def test_masks_ask_for_the_start_of_a_number_first(spark, plan):
+    """The same texts as by the plain patterns, on signs, spaces and comparisons in any order."""
+    parts = ["a", " 1.5 %", "+/- 3", ">= -2", "7 <", "\n\t4%", " 5", "+-", "-", " ", "(x 1)", "٣", "9.9.9", "+ /-6", None, ""]
+    texts = spark.createDataFrame([(a if a is None else a + (b or "") + a,) for a in parts for b in parts], "text string")
+    plain = F.col("text")
+    for pattern, tag in NUMERIC_MASKS:
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(tag))
+    assert texts.where(~mask(F.col("text")).eqNullSafe(plain)).count() == 0
+    assert plan(texts.select(mask(F.col("text")).alias("x"))).count("(?=[-+") == 3
