@@ -171,3 +171,19 @@ def test_centroids_of_unfit_vectors_are_an_error(spark, dimension, wrong):
     df = spark.createDataFrame([("k", [1.0, 2.0]), ("k", wrong)], "key string, embedding array<double>")
     with pytest.raises(Exception, match="vectors differ in length"):
         centroids(df, "key", dimension=dimension).collect()
+
+
+def test_steps_read_small_parts_together(spark, monkeypatch):
+    points = masked_points(spark.range(600).repartition(90).select(
+        "id", F.array((F.col("id") % 2).cast("int")).alias("ohe"), F.array((F.col("id") % 7).cast("double")).alias("features")), 1)
+    parts, summed = [], logistic._summed
+
+    def seen(stepped, *rest):
+        parts.append(stepped.rdd.getNumPartitions())
+        return summed(stepped, *rest)
+
+    monkeypatch.setattr(logistic, "_summed", seen)
+    model = fit(points, 1, Gradient(steps=2))
+    assert len(parts) == 2 and max(parts) <= spark.sparkContext.defaultParallelism
+    whole = fit(points.coalesce(1), 1, Gradient(steps=2))
+    assert model.weights == pytest.approx(whole.weights) and model.intercepts == pytest.approx(whole.intercepts)
