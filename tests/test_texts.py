@@ -1,5 +1,7 @@
+import heapq
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +148,58 @@ def test_word_vectors_do_not_follow_the_cores(spark, tokenized, rows):
     assert all(a == pytest.approx(b, abs=1e-2) for w in one for a, b in zip(one[w], other[w], strict=True))
 
 
+def test_huffman_codes_are_shortest():
+    """Runs of equal counts give the code lengths that merging two words or nodes at a time gives."""
+    random = np.random.default_rng(1)
+    for size in (1, 2, 3, 7, 40, 300):
+        counts = np.sort(random.integers(1, 15, size) ** int(random.integers(1, 4)))
+        heap, shortest = counts.tolist(), 0
+        while len(heap) > 1:
+            merged = heapq.heappop(heap) + heapq.heappop(heap)
+            heapq.heappush(heap, merged)
+            shortest += merged
+        values, numbers = np.unique(counts, return_counts=True)
+        starts, nodes, bits = wordvectors.paths(
+            wordvectors.huffman(list(zip(values.tolist(), numbers.tolist(), strict=True))), np.arange(size))
+        assert (np.diff(starts) * counts).sum() == shortest
+        codes = {tuple(zip(nodes[a:b].tolist(), bits[a:b].tolist(), strict=True)) for a, b in zip(starts, starts[1:])}
+        assert len(codes) == size and len(np.unique(nodes)) == size - 1
+
+
+def test_word_vectors_are_no_local_rows(spark, plan, monkeypatch):
+    """Vectors are stored by the tasks; parts follow the tokens, and a part and group of any size gives all words."""
+    random = np.random.default_rng(2)
+    some = [(str(i), [f"t{i % 4}_{j}" for j in random.integers(0, 5, 8)] + ["the", None]) for i in range(2_000)]
+    df = spark.createDataFrame([*some, ("x", ["rare", "rarer"]), (None, []), ("y", ["the"])], "id string, terms array<string>")
+    monkeypatch.setattr(wordvectors, "PART_WEIGHTS", 30_000, raising=False)
+    monkeypatch.setattr(wordvectors, "_GROUP_WEIGHTS", 1_000, raising=False)
+    fitted = wordvectors.word_vectors(wordvectors.fit_word_vectors(df, 16, partitions=2, iterations=6))
+    assert "LocalTableScan" not in plan(fitted) and "FileScan" in plan(fitted)
+    found = {r.word: np.array(r.embedding) for r in fitted.collect()}
+    assert set(found) == {f"t{t}_{j}" for t in range(4) for j in range(5)} | {"the", None}
+    names = sorted(n for n in found if n not in ("the", None))
+    near = np.array([found[n] / np.linalg.norm(found[n]) for n in names])
+    near = near @ near.T - 9 * np.eye(len(names))
+    assert np.mean([names[i][:2] == names[j][:2] for i, j in enumerate(near.argmax(1))]) > 0.9
+
+
+def test_repeated_words_do_not_overshoot(spark):
+    """A junk line of one word, over and over, and words that alternate: vectors stay finite and small."""
+    df = spark.createDataFrame(
+        [("1", ["x"] * 3_000), ("2", ["x", "y"] * 2_000), ("3", ["a", "b", "c", "x"] * 500)] * 6, "id string, terms array<string>")
+    norms = [np.linalg.norm(r.embedding) for r in wordvectors.fit_word_vectors(df, 8, partitions=1).collect()]
+    assert len(norms) == 5 and all(0 < n < 10 for n in norms)
+
+
+def test_vectors_are_averaged_over_the_parts_that_moved_them(spark, rows):
+    df = spark.createDataFrame(
+        [(0, 0, 5, "a", [1.0, 2.0], True), (1, 0, 5, "a", [3.0, 6.0], True), (2, 0, 5, "a", [9.0, 9.0], False),
+         (1, 0, 6, "b", [7.0, 8.0], False), (2, 0, 6, "b", [7.0, 8.0], False), (0, 1, 5, None, [4.0, 4.0], True)],
+        "part int, kind int, key bigint, word string, embedding array<float>, touched boolean")
+    got = df.withColumn("_group", F.lit(1)).groupBy("_group").applyInArrow(wordvectors._averaged, "kind int, key bigint, word string, embedding array<float>")
+    assert rows(got) == [(0, 5, "a", (2.0, 4.0)), (0, 6, "b", (7.0, 8.0)), (1, 5, None, (4.0, 4.0))]
+
+
 @pytest.mark.parametrize("batch", [1, 3, 10_000])
 def test_counts_of_ids_that_span_batches(spark, batch):
     """Null ids are one id of ``term_counts``, null terms a term; documents are counted over ids that are not null."""
