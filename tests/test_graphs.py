@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from paperlens.operators import coauthors, originality, pagerank
+from paperlens.functions.vectors import sq_l2
+from paperlens.operators import coauthors, frames, originality, pagerank
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +109,42 @@ def test_originality(spark, rows):
     assert ("3", "K", "1", 2.5) in rows(halved)
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_vectors_that_are_not_broadcast_meet_in_cells(spark, rows, plan, monkeypatch, strict):
+    """Keys and slices of several blocks, papers with several vectors, null ones and null elements: no pair is shuffled."""
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(originality, "CELL_ROWS", 4)
+    monkeypatch.setattr(originality, "_LEFTS", 3)
+    monkeypatch.setattr(originality, "_RIGHTS", 2)
+    given = [(str(i % 50), "J" if i % 4 else None, 2015 + i * 7 % 3, None if i % 13 == 0 else i % 5, f"a{i * i % 6}") for i in range(90)]
+    authors = spark.createDataFrame(given, "eid string, issn string, year short, month short, auid string")
+    vector = {str(i): [[i / 3, 1.0]] for i in range(45)} | {"3": [[1.0, 2.0], [5.0, 0.1]], "4": [None], "5": [[None, 1.0]]}
+    vectors = spark.createDataFrame([(k, v) for k, vs in vector.items() for v in vs], "id string, embedding array<double>")
+    late = (lambda r: (r[2], -1 if r[3] is None else r[3])) if strict else (lambda r: r[2])
+    wanted = {(a[0], a[1], b[0]) for a in given for b in given if a[0] in vector and b[0] in vector
+              and a[4] == b[4] and (late(b) < late(a) if strict else late(b) <= late(a))}
+    pairs = originality.originality_pairs(authors, vectors, strict=strict)
+    assert "Exchange" not in plan(pairs).split("MapInArrow")[0]
+    both = [(a, i, b, x and tuple(x), y and tuple(y)) for a, i, b in wanted for x in vector[a] for y in vector[b]]
+    assert sorted(map(repr, rows(pairs, 12))) == sorted(repr(tuple(r)) for r in rows(spark.createDataFrame(
+        both, "a string, i string, b string, x array<double>, y array<double>"), 12))
+    by_kernel = rows(originality.originality_distances(pairs, lambda x, y: sq_l2(x, y)))
+    assert rows(originality.originality_distances(pairs)) == by_kernel
+    least = rows(pairs.select("eid", "issn", "eid_asc", sq_l2(F.col("embedding"), F.col("embedding_asc")).alias("d"))
+                 .groupBy("eid", "issn", "eid_asc").agg(F.min("d")))
+    assert rows(originality.author_distances(authors, vectors, strict=strict)) == least
+
+
+def test_distances_want_vectors_of_one_length(spark):
+    authors = spark.createDataFrame([("1", "J", 2015, 1, "a"), ("2", "J", 2016, 1, "a")], "eid string, issn string, year short, month short, auid string")
+    vectors = spark.createDataFrame([("1", [1.0]), ("2", [1.0, 2.0])], "id string, embedding array<double>")
+    pairs = originality.originality_pairs(authors, vectors)
+    assert pairs.count() == 3
+    for distances in (originality.originality_distances(pairs), originality.author_distances(authors, vectors)):
+        with pytest.raises(PySparkException, match="vectors differ in length"):
+            distances.collect()
+
+
 def test_rounds_go_on_until_ranks_stand_still(spark, rows):
     """The same rule, and so the same ranks, whether pairs or author lists carry the rounds."""
     lists = spark.createDataFrame([(str(i), a) for i in range(12) for a in (f"n{i}", f"n{i + 1}")], "eid string, auid string")
