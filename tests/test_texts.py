@@ -238,6 +238,45 @@ def test_rare_vectors_travel_once_for_many_ids(spark, words, rows, plan, monkeyp
     assert "FlatMapCoGroupsInArrow" in plan(got)
 
 
+@pytest.mark.parametrize("known", [20, 60])
+def test_vectors_go_out_by_slices_of_their_elements(spark, plan, monkeypatch, known):
+    """A vocabulary above the limit of a broadcast: several slices, with and without rare words beside them, weighed by word or row."""
+    vectors = {f"w{i}": [float((i * j) % 7 - 3) for j in range(1, 41)] for i in range(known)}
+    words = spark.createDataFrame([*vectors.items(), ("none", None)], "word string, embedding array<float>")
+    texts = [(None if i % 11 == 0 else f"d{i * i % 9}", [f"w{(i * j) % 70}" for j in range(i % 5, 40)] + [None, "none"]) for i in range(60)]
+    df = spark.createDataFrame(texts, "id string, terms array<string>").repartition(3)
+    idf = spark.createDataFrame([(f"w{i}", 1.0 + i % 3) for i in range(50)], "token string, weight double")
+    bow_rows = df.select("id", F.explode("terms").alias("term")).withColumn("weight", F.length("term").cast("double"))
+    wanted = [embeddings.embed_tokens(df, words, idf, dimension=40), embeddings.embed_bow(bow_rows, words)]
+    wanted = [{r["id"]: r["embedding"] for r in frame.collect()} for frame in wanted]
+    monkeypatch.setattr(embeddings, "_TOKENS", 7)
+    sent = []
+    packed = embeddings._run_sums
+    monkeypatch.setattr(embeddings, "_run_sums", lambda runs, out, width: sent.append(width) or packed(runs, out, width))
+    monkeypatch.setattr(frames, "BROADCAST_BYTES", 2_500)
+    for frame, means in zip((embeddings.embed_tokens(df, words, idf, dimension=40), embeddings.embed_bow(bow_rows, words)), wanted):
+        got = {r["id"]: r["embedding"] for r in frame.collect()}
+        assert got.keys() == means.keys()
+        assert all(got[i] == pytest.approx(means[i]) for i in means)
+        assert ("FlatMapCoGroupsInArrow" in plan(frame)) == (known > 25)
+    assert sum(sent) == 80 and len(sent) == 4
+
+
+def test_an_id_is_shuffled_once_with_its_terms(spark, rows, plan):
+    """Rows of an id in several tasks, null ids and terms, numbers as ids: blocks of counts travel, and no row a sentence."""
+    given = [(None if i % 7 == 0 else i * i % 10, ["a", f"b{i % 4}", None]) for i in range(60)]
+    for kind in ("string", "bigint", "double"):
+        df = spark.createDataFrame(given, "id bigint, terms array<string>").withColumn("id", F.col("id").cast(kind)).repartition(5)
+        wanted = rows(df.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*")))
+        assert rows(tokens.term_counts(df).select("id", "term", "_count")) == wanted
+        weighted = df.select("id", F.explode("terms").alias("term")).distinct().where("term is not null").withColumn("weight", F.lit(0.5))
+        maps = bow.to_maps(weighted)
+        assert maps.count() == weighted.select("id").distinct().count() and rows(bow.from_maps(maps)) == rows(weighted)
+        assert ("id_part" in plan(maps)) == ("id_part" in plan(tokens.term_counts(df))) == (kind != "double")
+        assert rows(tokens.ids_with_terms(df.where("id is not null")).groupBy("token").sum("_n")) == rows(
+            df.where("id is not null").select("id", F.explode("terms").alias("t")).distinct().groupBy("t").count())
+
+
 def test_masks_ask_for_the_start_of_a_number_first(spark, plan):
     """The same texts as by the plain patterns, on signs, spaces and comparisons in any order."""
     parts = ["a", " 1.5 %", "+/- 3", ">= -2", "7 <", "\n\t4%", " 5", "+-", "-", " ", "(x 1)", "٣", "9.9.9", "+ /-6", None, ""]
